@@ -51,3 +51,9 @@ def held_out(doc_id: str, folds: int, fold: int) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so columns an input has besides cannot clash with those an operator adds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch: with very long texts the default of 10,000 rows is no bound on memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

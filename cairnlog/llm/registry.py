@@ -5,17 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid
-from .common import table
+from . import langid, packing, tokenfile
+from .common import small_batches, table
+from .tokens import public_path
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return langid.identify(table(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_id")
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = tokenfile.encode_and_read(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end_id=2)
+    return docs.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id}
+    return {"op2_language_id": op2_language_id, "op3_packing": op3_packing, "op10_token_file": op10_token_file}
 
 
 def oracle_sql() -> dict[str, str]:
