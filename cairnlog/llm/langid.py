@@ -15,8 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out, only
 
@@ -258,18 +260,19 @@ def predict_texts(net: Network | None, texts: list[str | None], s: Settings) ->
     return label, score
 
 
-def identify(docs: DataFrame, s: Settings = Settings(), keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+def identify(docs: DataFrame, s: Settings = Settings(), keep: tuple[str, ...] = ("doc_id", "text"), net: Network | None = None) -> DataFrame:
     """The columns named in keep, with held_out, lang_pred and score, for every row of docs.
 
-    The network is fitted on docs' own labelled rows; lang is not read when predicting."""
-    net = train(only(docs, "doc_id", "text", "lang"), s)
+    Where no network is given one is fitted on docs' own labelled rows; lang is not read when predicting."""
+    net = net or train(only(docs, "doc_id", "text", "lang"), s)
+    held = docs.sparkSession.sparkContext.broadcast(net)
     source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])], held_out("doc_id", 4, 2).alias("held_out"))
     fields = [f for f in source.schema.fields if f.name in keep or f.name == "held_out"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["lang_pred"], frame["score"] = predict_texts(net, [t if isinstance(t, str) else None for t in frame["text"]], s)
-            yield frame[[f.name for f in fields] + ["lang_pred", "score"]]
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, score = predict_texts(held.value, batch.column("text").to_pylist(), s)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return source.mapInPandas(predict, schema)
+    return source.mapInArrow(predict, schema)

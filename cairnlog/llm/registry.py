@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, tokenfile
+from . import decontam, langid, packing, secrets, simhash, tokenfile
 from .common import small_batches, table
 from .tokens import public_path
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return langid.identify(table(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc_id", "held_out", "lang_pred", "score")
@@ -23,14 +28,28 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = tokenfile.encode_and_read(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end_id=2)
     return docs.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+QUERIES = (op1_secret_scan, op2_language_id, op3_packing, op4_decontamination, op6_simhash, op10_token_file)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op3_packing": op3_packing, "op10_token_file": op10_token_file}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
