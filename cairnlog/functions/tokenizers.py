@@ -24,7 +24,7 @@ def tokenize(line: Column, name: str = DEFAULT) -> Column:
     if name not in _registry:
         raise KeyError(f"no tokenizer named {name!r}")
     terms = _registry[name](line)
-    return terms if name == DEFAULT else F.filter(F.transform(terms, F.trim), lambda t: t != "")
+    return terms if name == DEFAULT else F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def has_term(line: Column, term: str, name: str = DEFAULT) -> Column:
