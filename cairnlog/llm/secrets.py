@@ -52,7 +52,7 @@ IDENTIFIERS = " ".join(
 
 @dataclass(frozen=True)
 class Settings:
-    bits: float = 3.6
+    bits: float = 4.5
     around: int = 256
     before: int = 48
     longest: int = 4096
