@@ -16,6 +16,7 @@ their rows; no items, no rows.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -137,27 +138,27 @@ class Matcher:
         return found
 
 
-_built: dict[int, Matcher] = {}
+_built: dict[str, Matcher] = {}
 
 
 def matcher(items: Broadcast, s: Settings) -> Matcher:
-    """One per block and worker process."""
-    key = items._jid if hasattr(items, "_jid") else id(items)
-    if key not in _built:
+    """One per block and worker process; blocks are told apart by the name they were given."""
+    name, rows = items.value
+    if name not in _built:
         if len(_built) > 1:
             _built.clear()
-        _built[key] = Matcher(items.value, s)
-    return _built[key]
+        _built[name] = Matcher(rows, s)
+    return _built[name]
 
 
 def blocks(benchmark: DataFrame, s: Settings) -> Iterator[Broadcast]:
-    """The items in broadcasts of bounded size."""
+    """The items in broadcasts of bounded size, each with a name of its own."""
     items = only(benchmark, "item_id", "text").filter(F.col("text").isNotNull())
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = int(chars // (s.block_chars // 2)) + 1
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
+        yield benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
