@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows in an Arrow batch: with very long texts the default of 10,000 rows is no bound on memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def hash_sample(df: DataFrame, key: str, n: int, by: str | None = None, margin: int = 8) -> DataFrame:
+    """At most n rows (of each value of by), the first by hash of the key.
+
+    Counts come first, so that only about margin * n rows a group are left before the rows meet in a task, however many
+    tasks and rows there are. Bounded samples are for fitting models alone."""
+    sort, room = F.xxhash64(key), 1 << 30
+    share = F.pmod(sort, F.lit(room))
+    if by is None:
+        total = df.count()
+        near = df.filter(share < room * margin * n // total) if total > margin * n else df
+        return near.orderBy(sort, key).limit(n)
+    counts = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_rows"))
+    near = df.join(counts, F.col(by) == F.col("_by")).filter(share < room * margin * n / F.col("_rows")).drop("_by", "_rows")
+    place = F.row_number().over(Window.partitionBy(by).orderBy(sort, key))
+    return near.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")

@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, stored
+from .common import hash_sample, only, stored
 from .urlfilter import host_of
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -320,14 +320,13 @@ def text_of(page: str | None, wrapper: Wrapper | None) -> str:
 def infer_wrappers(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(host, wrapper) from at most ``pages`` pages of each host, by hash of the id; wrapper is a literal of nodes."""
     ids = pages.filter(F.col("html").isNotNull() & F.col("page_id").isNotNull()).select("page_id", "host")
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id"))
-    chosen = ids.withColumn("n", place).filter(F.col("n") <= s.pages).select(F.col("page_id").alias("_id")).distinct()
+    chosen = hash_sample(ids, "page_id", s.pages, by="host").select(F.col("page_id").alias("_id")).distinct()
     sample = pages.join(chosen, F.col("page_id") == F.col("_id"), "left_semi").select("host", "page_id", "html")
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values("page_id").drop_duplicates("page_id")
         wrapper = infer(list(rows["html"])[: s.pages], s)
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [repr(wrapper)]}) if wrapper else pd.DataFrame({"host": [], "wrapper": []})
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [repr(wrapper)]} if wrapper else {"host": [], "wrapper": []}, dtype=object)
 
     return sample.groupBy("host").applyInPandas(one, "host string, wrapper string")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, stored
+from .common import hash_sample, only, stored
 
 
 @dataclass(frozen=True)
@@ -166,7 +166,7 @@ def top_k(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     found = None
     for dim in sorted(r.dim for r in points.select("dim").distinct().collect()):
         mine = points.filter(F.col("dim") == dim)
-        sample = mine.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(s.sample).collect()
+        sample = hash_sample(mine, "vec_id", s.sample).collect()
         sx, sid = matrix([bytes(r.v) for r in sample], dim), np.array([r.vec_id for r in sample], np.int64)
         pivots = choose_pivots(sx, s.pivots)
         index = build_index(points, dim, pivots, s)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, only
+from .common import hash_sample, held_out, only
 
 #: Letters of other scripts that look like Latin ones, and characters written for letters. l, 1 and | become i.
 LOOK_ALIKES = {
@@ -184,7 +184,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple
     known = only(labels, "doc_id", "toxic").filter(F.col("toxic").isNotNull() & ~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     label = {}
     for value in (0, 1):
-        for r in known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.fit_rows).collect():
+        for r in hash_sample(known.filter(F.col("toxic") == value), "doc_id", s.fit_rows).collect():
             label[r.doc_id] = r.toxic
     texts = only(docs, "doc_id", "text").filter(F.col("doc_id").isin(list(label))).collect() if label else []
     return [(r.text, label[r.doc_id]) for r in texts]
