@@ -140,7 +140,7 @@ class CachedTokenizer:
         byte = buf[np.repeat(start, cut) + nth].astype(np.uint64) + np.uint64(1)
         h1 = np.add.reduceat(byte * self.power[0][nth], edge)
         h2 = np.add.reduceat(byte * self.power[1][nth], edge)
-        slot = ((h1 ^ (h2 >> np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+        slot = ((h1 ^ (h2 >> np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % SLOTS
         key = self.key[slot]
         missed = np.flatnonzero((key[:, 0] != h1) | (key[:, 1] != h2) | long)
         row, count = self.row[slot], self.size[slot].astype(np.int64)
