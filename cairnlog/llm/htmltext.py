@@ -33,7 +33,7 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 SPACE = re.compile(r"[ \t\n\r\f\v\xa0  -     　\x1c-\x1f\x85]+")
 
-RAW = frozenset("script style noscript iframe template svg math textarea title object xmp".split())
+RAW = frozenset("script style noscript iframe template svg textarea title object xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset
@@ -42,12 +42,14 @@ BLOCKS = frozenset(
 )
 LOOSE = frozenset("p li dt dd tr td th option".split())
 BOILER_TAGS = frozenset("nav footer aside form dialog menu button select option search head".split())
-#: Words of class, id and role that mark boilerplate; header counts outside an article alone.
+#: Words of class, id and role that mark boilerplate, and beginnings of such words; header counts outside an article alone.
 BOILER_WORDS = frozenset(
-    """nav navbar navigation menu footer sidebar aside ad ads adv advert adverts advertisement banner promo promotion sponsor sponsored
-    cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing
-    social related recommended comment comments reply replies discussion disqus breadcrumb breadcrumbs pagination pager widget
-    search form complementary contentinfo dialog skip copyright""".split()
+    """nav menu menus aside ad ads adv gdpr alert alerts modal share sharing social related reply replies discussion pager widget widgets
+    search login form complementary contentinfo dialog skip copyright respond legal toc""".split()
+)
+BOILER_STEMS = tuple(
+    """comment advert footer sidebar cookie consent promo sponsor newsletter subscri breadcrumb paginat navbar navig popup overlay
+    recommend disqus signup banner notice""".split()
 )
 HEADER_WORDS = frozenset("header masthead topbar toolbar".split())
 
@@ -117,7 +119,7 @@ def tokens(page: str) -> list[tuple[str, str, bool, str]]:
             if key.lower() in ("class", "id", "role"):
                 words |= set(re.split(r"[^a-z0-9]+", value.lower()))
         boiler, article, main = stack[-1][1:] if stack else (False, False, False)
-        boiler |= name in BOILER_TAGS or hidden or bool(words & BOILER_WORDS)
+        boiler |= name in BOILER_TAGS or hidden or bool(words & BOILER_WORDS) or any(w.startswith(BOILER_STEMS) for w in words)
         if name == "header" or words & HEADER_WORDS:
             boiler |= not (article or main)
         if name == "article":

@@ -24,7 +24,7 @@ from cairnlog.llm.common import shared_dir, small_batches, table
 from cairnlog.llm.tokens import public_path
 
 #: The least pooled probability of the likeliest language with which a document stays.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
