@@ -13,6 +13,7 @@ from .operators import blocks, index, metrics, search
 from .plans.predicate import labels_match
 from .plans.temql import Matcher, parse
 from .sources import push, tables
+from .storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -322,10 +323,18 @@ def _(spark, d):
     return blocks.retained(tables.events(spark, d)).select("log_id", "ts_ms")
 
 
-@query("compact_preserves_rows", f"WITH {EV} SELECT ts_ms - ts_ms % 86400000 AS block_start, count(*) AS total, CAST(sum(log_id) AS BIGINT) AS id_sum FROM ev GROUP BY 1")
+@query("compact_preserves_rows", f"WITH {EV} SELECT ts_ms - ts_ms % {10 * DAY} AS block_start, count(*) AS total, CAST(sum(log_id) AS BIGINT) AS id_sum FROM ev GROUP BY 1")
 def _(spark, d):
-    small = blocks.with_block(tables.events(spark, d)).drop("block_start")
-    return blocks.with_block(small, 86_400_000).groupBy("block_start").agg(F.count("*").alias("total"), F.sum("log_id").alias("id_sum"))
+    small, large = shared_path(spark, "blocks"), shared_path(spark, "compacted")
+    blocks.write(tables.events(spark, d), small, partition_ms=DAY)
+    blocks.compact(spark, small, large, 10 * DAY)
+    return spark.read.parquet(large).groupBy(F.col("block_start").cast("bigint").alias("block_start")).agg(F.count("*").alias("total"), F.sum("log_id").alias("id_sum"))
+
+
+@query("term_and_series_block", f"""WITH {EV}, b AS (SELECT *, ts_ms - ts_ms % {DAY} AS block_start FROM ev), g AS (SELECT series_key, block_start FROM b GROUP BY 1, 2 HAVING bool_or({has('click')}) AND bool_or({has('k')}))
+  SELECT series_key, ts_ms, log_id, line, count(*) OVER (PARTITION BY series_key) AS total_count FROM b SEMI JOIN g USING (series_key, block_start) WHERE {has('click')} OR {has('k')}""")
+def _(spark, d):
+    return search.search(tables.events(spark, d), "(click and k)", semantics="series", gate_scope="block", block_ms=DAY)
 
 
 @query("compaction_groups")

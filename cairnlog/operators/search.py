@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
 from ..functions.labels import sorted_entries
 from ..functions.tokenizers import DEFAULT
 from ..plans.predicate import gated, labels_match, line_matches
 from ..plans.temql import Query, parse
+from .blocks import with_block
 
 RESULT = "series_key string, ts_ms bigint, log_id bigint, line string, total_count bigint"
 SEMANTICS = ("record", "series")
@@ -33,16 +35,20 @@ def select(logs: DataFrame, query: Query | None, mint: int | None = None, maxt:
     return rows.filter(line_matches(query.expr, F.col("line"), tokenizer))
 
 
-def search(logs: DataFrame, source: str, mint: int | None = None, maxt: int | None = None, count: int | None = None, direction: str = "forward", semantics: str = "record", include_empty: bool = False, tokenizer: str = DEFAULT) -> DataFrame:
+def search(logs: DataFrame, source: str, mint: int | None = None, maxt: int | None = None, count: int | None = None, direction: str = "forward", semantics: str = "record", include_empty: bool = False, tokenizer: str = DEFAULT, gate_scope: str = "range", block_ms: int = EngineConfig.block_ms) -> DataFrame:
     """Lines of each series in time order, at most ``count`` a series, with the series' total of all hits.
 
     The total is a pre-aggregated count, the limit a ranked window that Spark also applies before the shuffle; so a
-    series with very many hits is never gathered in one task. With include_empty a series whose labels match but that
+    series with very many hits is never gathered in one task. Series semantics decide over the range as a whole or, with
+    gate_scope="block", within each block. With include_empty a series whose labels match but that
     has no hit gives a row without a line and total 0."""
     if direction not in ("forward", "backward"):
         raise ValueError("direction must be forward or backward")
+    if gate_scope not in ("range", "block"):
+        raise ValueError("gate_scope must be range or block")
     query = parse(source)
-    hits = select(logs, query, mint, maxt, semantics, tokenizer).select("series_key", "ts_ms", "log_id", "line")
+    by_block = semantics == "series" and gate_scope == "block"
+    hits = select(with_block(logs, block_ms) if by_block else logs, query, mint, maxt, semantics, tokenizer, ("block_start",) if by_block else ()).select("series_key", "ts_ms", "log_id", "line")
     totals = hits.groupBy("series_key").agg(F.count("*").alias("total_count"))
     if count is not None:
         order = (F.asc, F.asc) if direction == "forward" else (F.desc, F.desc)

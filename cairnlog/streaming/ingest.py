@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import EngineConfig
 from ..operators import blocks
 from ..operators.metrics import bucket
+from ..operators.search import select
+from ..plans.temql import parse
 from ..sources.push import REQUEST, flatten, to_logs
 
 
@@ -48,3 +50,8 @@ def tumbling_counts(logs: DataFrame, window: str, delay: str = "1 minute") -> Da
 def without_repeats(logs: DataFrame, delay: str = "1 minute") -> DataFrame:
     """A line pushed again within the delay counts once. logs: with ts."""
     return logs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["series_key", "ts_ms", "line"])
+
+
+def tail(logs: DataFrame, source: str) -> DataFrame:
+    """Lines of a stream that a query selects, as they come."""
+    return select(logs, parse(source)).select("series_key", "ts_ms", "line")

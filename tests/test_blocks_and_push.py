@@ -123,3 +123,26 @@ def test_streaming_counts(spark, tmp_path):
     query.awaitTermination(120)
     got = {(r.series_key, r.window_start_ms % 100_000_000): r.n for r in spark.sql("select * from counts").collect()}
     assert sum(got.values()) == 4 and len(got) == 4
+
+
+def test_tail(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "0.json").write_text("\n".join(json.dumps(r) for r in REQUESTS))
+    logs, _ = push.to_logs(push.flatten(ingest.read_requests(spark, f"file://{source}")))
+    query = ingest.tail(logs, '(a or c){app=~"web|db"}').writeStream.format("memory").queryName("tailed").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(r.line for r in spark.sql("select * from tailed").collect()) == ["a", "c"]
+
+
+def test_streaming_step_counts(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "0.json").write_text("\n".join(json.dumps(r) for r in REQUESTS))
+    entries = push.flatten(ingest.read_requests(spark, f"file://{source}"))
+    logs = entries.select(F.col("stream_labels").alias("series_key"), "ts", F.unix_millis("ts").alias("ts_ms"), "line")
+    start = 1704067200000
+    query = ingest.step_counts(logs, start, 30_000).writeStream.format("memory").queryName("steps").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted((r.series_key, r.bucket_end_ms - start, r.value) for r in spark.sql("select * from steps").collect())
+    assert got == [("bad", 30_000, 1.0), ('{app="db"}', 60_000, 1.0), ('{app="web"}', 30_000, 1.0), ('{app="web"}', 60_000, 1.0)]
