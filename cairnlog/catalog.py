@@ -129,7 +129,10 @@ def _(spark, d):
     return search.search(tables.events(spark, d), '{event_type="error"}', LO, LO + DAY, include_empty=True)
 
 
-@query("search_json")
+@query("search_json", f"""WITH {EV}, l AS (SELECT *, count(*) OVER (PARTITION BY series_key) AS total_count, row_number() OVER (PARTITION BY series_key ORDER BY ts_ms, log_id) AS n
+  FROM ev WHERE event_type = 'error' AND ts_ms BETWEEN {LO} AND {HI})
+  SELECT series_key, CAST(to_json({{'metric': series_key, 'logs': list({{'timestamp': ts_ms, 'id': log_id, 'log': line}} ORDER BY ts_ms, log_id), 'total_count': total_count}}) AS VARCHAR) AS json
+  FROM l WHERE n <= 3 GROUP BY series_key, total_count""")
 def _(spark, d):
     return search.as_json(search.search(tables.events(spark, d), '{event_type="error"}', LO, HI, count=3))
 
@@ -337,7 +340,8 @@ def _(spark, d):
     return search.search(tables.events(spark, d), "(click and k)", semantics="series", gate_scope="block", block_ms=DAY)
 
 
-@query("compaction_groups")
+@query("compaction_groups", f"""WITH {EV}, b AS (SELECT DISTINCT ts_ms - ts_ms % 3600000 AS block_start FROM ev), g AS (SELECT block_start, block_start // 10800000 AS w FROM b)
+  SELECT dense_rank() OVER (ORDER BY w) - 1 AS group_no, block_start, count(*) OVER (PARTITION BY w) AS size FROM g""")
 def _(spark, d):
     rows = blocks.stats(blocks.with_block(tables.events(spark, d), 3_600_000)).collect()  # one row a block: the planner's input
     held = [blocks.Block(r.block_start, r.min_ts, r.max_ts) for r in rows]

@@ -76,10 +76,16 @@ def as_json(found: DataFrame) -> DataFrame:
 
 
 def series_in_order(logs: DataFrame) -> DataFrame:
-    """(series_key, place): label sets in order, compared label by label, fewer labels first on a tie."""
+    """(series_key, place): label sets in order, compared label by label, fewer labels first on a tie.
+
+    Places go in two levels, by first label and within it, so only the values of the first label meet in one task."""
     known = logs.groupBy("series_key").agg(F.first("labels").alias("labels")).withColumn("e", sorted_entries(F.col("labels")))
-    # A place over all series is one ordering; the table has one row a series.
-    return known.withColumn("place", F.row_number().over(Window.orderBy("e"))).select("series_key", F.col("place").cast("bigint").alias("place"))
+    known = known.select("series_key", "e", F.get("e", F.lit(0)).alias("first"))
+    sizes = known.groupBy("first").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("first").alias("_first"), F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("first").orderBy("e"))
+    placed = known.withColumn("inside", inside).join(before, F.col("first").eqNullSafe(F.col("_first")))
+    return placed.select("series_key", (F.col("before") + F.col("inside")).cast("bigint").alias("place"))
 
 
 def by_ids(logs: DataFrame, ids: DataFrame) -> DataFrame:
