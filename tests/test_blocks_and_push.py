@@ -146,3 +146,16 @@ def test_streaming_step_counts(spark, tmp_path):
     query.awaitTermination(120)
     got = sorted((r.series_key, r.bucket_end_ms - start, r.value) for r in spark.sql("select * from steps").collect())
     assert got == [("bad", 30_000, 1.0), ('{app="db"}', 60_000, 1.0), ('{app="web"}', 30_000, 1.0), ('{app="web"}', 60_000, 1.0)]
+
+
+def test_command_line(golden, spark, tmp_path, capsys):
+    from cairnlog.__main__ import main
+
+    store = f"file://{tmp_path}/store"
+    blocks.write(golden, store)
+    main(["search", store, "error", "--count", "1"])
+    assert [x.split("\t")[2] for x in capsys.readouterr().out.splitlines()] == ["4", "1"]
+    main(["search", store, '{app="db"}', "--json"])
+    assert json.loads(capsys.readouterr().out)["total_count"] == 3
+    main(["read", store, '{app="web"}', "--start", "1000", "--end", "6000", "--step", "1000"])
+    assert capsys.readouterr().out.split() == ['{app="web"}', "2000", "3.0"]
