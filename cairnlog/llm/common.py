@@ -59,6 +59,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Groups up to which their counts are broadcast (some 10 MB at most).
+BROADCAST_GROUPS = 200_000
+
+
 def hash_sample(df: DataFrame, key: str, n: int, by: str | None = None, margin: int = 8) -> DataFrame:
     """At most n rows (of each value of by), the first by hash of the key.
 
@@ -69,8 +73,13 @@ def hash_sample(df: DataFrame, key: str, n: int, by: str | None = None, margin:
     if by is None:
         total = df.count()
         near = df.filter(share < room * margin * n // total) if total > margin * n else df
-        return near.orderBy(sort, key).limit(n)
+        return near.orderBy(share, sort, key).limit(n)
     counts = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_rows"))
-    near = df.join(counts, F.col(by) == F.col("_by")).filter(share < room * margin * n / F.col("_rows")).drop("_by", "_rows")
-    place = F.row_number().over(Window.partitionBy(by).orderBy(sort, key))
+    if counts.count() <= BROADCAST_GROUPS:
+        # Two numbers a group and a checked number of groups: the filter then needs no shuffle of the rows.
+        near = df.join(F.broadcast(counts), F.col(by) == F.col("_by")).filter(share < room * margin * n / F.col("_rows")).drop("_by", "_rows")
+    else:
+        part = Window.partitionBy(by, F.pmod(F.shiftright(sort, 32), F.lit(64))).orderBy(share, sort, key)
+        near = df.withColumn("_place", F.row_number().over(part)).filter(F.col("_place") <= n).drop("_place")
+    place = F.row_number().over(Window.partitionBy(by).orderBy(share, sort, key))
     return near.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")

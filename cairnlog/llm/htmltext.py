@@ -322,7 +322,10 @@ def text_of(page: str | None, wrapper: Wrapper | None) -> str:
 def infer_wrappers(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(host, wrapper) from at most ``pages`` pages of each host, by hash of the id; wrapper is a literal of nodes."""
     ids = pages.filter(F.col("html").isNotNull() & F.col("page_id").isNotNull()).select("page_id", "host")
-    chosen = hash_sample(ids, "page_id", s.pages, by="host").select(F.col("page_id").alias("_id")).distinct()
+    chosen = stored(hash_sample(ids, "page_id", s.pages, by="host").select(F.col("page_id").alias("_id")).distinct(), "html-sample")
+    # Eight bytes a chosen page, their number checked: then no html is shuffled to find the sample's pages.
+    if chosen.count() <= s.broadcast_bytes // 8:
+        chosen = F.broadcast(chosen)
     sample = pages.join(chosen, F.col("page_id") == F.col("_id"), "left_semi").select("host", "page_id", "html")
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:

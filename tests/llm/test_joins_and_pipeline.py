@@ -198,3 +198,20 @@ def test_pipeline(spark, tmp_path):
     packed = step("packing", hidden)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == left
     assert corpus_pipeline.run(spark, SMALL).count() == packed.count()
+
+
+def test_hash_sample(spark, monkeypatch):
+    from cairnlog.llm import common
+
+    rows = [(k, "hot" if k % 3 else f"g{k % 30}") for k in range(3000)] + [(None, "hot"), (5, None)]
+    df = spark.createDataFrame(rows, "id bigint, g string")
+    found = []
+    for limit in (200_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_GROUPS", limit)
+        got = [tuple(r) for r in common.hash_sample(df, "id", 7, by="g").collect()]
+        sizes = {g: sum(1 for _, x in got if x == g) for _, g in got}
+        assert all(n == 7 for g, n in sizes.items() if g) and len([g for g in sizes if g]) == 11
+        found.append(sorted((x for x in got if x[1]), key=repr))
+    assert found[0] == found[1]
+    one = [r.id for r in common.hash_sample(df, "id", 20).collect()]
+    assert len(one) == 20 and one == [r.id for r in df.selectExpr("id", "xxhash64(id) h", "pmod(xxhash64(id), 1073741824) s").orderBy("s", "h", "id").limit(20).collect()]
