@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import only, stored
-from .components import components
+from .components import components, forest
 
 BITS = 64
 
@@ -103,20 +103,6 @@ def trie_pairs(values: np.ndarray, tries: np.ndarray, others: np.ndarray | None,
     return np.concatenate(left), np.concatenate(right)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n positions the least one it hangs together with by the links (a, b)."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while (label[label] != label).any():
-            label = label[label]
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    return label
-
-
 def links(distinct: DataFrame, budget: int = 3, held: int = 512) -> DataFrame:
     """(a, b): links that connect exactly what fingerprints within the budget connect. distinct: column fp, no repeats."""
     width = BITS // (budget + 1)
@@ -190,7 +176,8 @@ def classes(fps: DataFrame, budget: int = 3) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, budget: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     fps = stored(fingerprints(docs, words, seed), "simhash-docs")
-    found = classes(fps, budget).select(F.col("fp").alias("_fp"), "component_id")
+    # Written first, so that the join below reads both sides plainly and adaptive execution can split a hot fingerprint.
+    found = stored(classes(fps, budget), "simhash-named").select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(found, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
