@@ -6,8 +6,10 @@ certain and the parts encoded apart. Two kinds of tokenizer file are cut that wa
 * byte level, white space leads the word: a cut before each run of spaces and line feeds;
 * white space dropped: a cut at spaces and line feeds, which go.
 
-All parts of a block of texts are hashed at once in numpy and looked up in a table of fixed size that the worker keeps;
-a part that is not there is encoded by the library and stored. Parts whose end the library's own regular expressions
+All parts of a block of texts are looked up at once, in numpy, in two tables of fixed size that the worker keeps: a row
+is a part's key (its first sixteen bytes; of longer parts the first eight and a hash of the rest), its number of ids and
+the ids. A part that is not there is encoded by the library and stored: in its row of the first table if that is free,
+so that the common words, which come early, stay; else in its row of the second, in place of what was there. Parts whose end the library's own regular expressions
 might class otherwise make their text go to the library whole, as do all texts under any other kind of file.
 """
 
@@ -23,7 +25,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 UNSURE = re.compile("[\x1c-\x1f\x85᠎​-‍﻿]")
 PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:]?)")
-SLOTS, WIDE, LONGEST = 1 << 20, 12, 96
+SLOTS, WIDE, LONGEST = 1 << 20, 11, 96
+KEY, COUNT, IDS = slice(0, 4), 4, slice(5, 5 + WIDE)
+#: Keeps the first 0 to 8 bytes of a little-endian word.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def public_path(name: str) -> str:
@@ -60,10 +65,8 @@ class CachedTokenizer:
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.letters = _byte_letters()
         rng = np.random.default_rng(1)
-        self.power = rng.integers(1, 1 << 62, (2, LONGEST), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.key = np.zeros((SLOTS, 2), np.uint64)
-        self.size = np.zeros(SLOTS, np.int16)
-        self.row = np.zeros((SLOTS, WIDE), np.uint32)
+        self.power = rng.integers(1, 1 << 62, LONGEST, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.table, self.second = (np.zeros((n, 5 + WIDE), np.uint32) for n in (SLOTS, SLOTS // 2))
         self.tails: dict[str, list[int]] = {}
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -112,7 +115,9 @@ class CachedTokenizer:
     def _block(self, texts: list[str]) -> list[bytes]:
         raw = [t.encode() for t in texts]
         # A line feed stands between texts, so that a cut lies there; in the leading kind it is no part of any text.
-        buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        joined = b"\n".join(raw) + b"\n"
+        padded = joined + bytes(16)
+        buf = np.frombuffer(joined, np.uint8)
         sizes = np.array([len(r) for r in raw], np.int64)
         first = np.cumsum(sizes + 1) - sizes - 1
         blank = (buf == 32) | (buf == 10)
@@ -134,16 +139,31 @@ class CachedTokenizer:
         if not n:
             return [b""] * len(texts)
         long = size > LONGEST
-        cut = np.minimum(size, LONGEST)
-        edge = np.cumsum(cut) - cut
-        nth = np.arange(int(cut.sum())) - np.repeat(edge, cut)
-        byte = buf[np.repeat(start, cut) + nth].astype(np.uint64) + np.uint64(1)
-        h1 = np.add.reduceat(byte * self.power[0][nth], edge)
-        h2 = np.add.reduceat(byte * self.power[1][nth], edge)
-        slot = ((h1 ^ (h2 >> np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % SLOTS
-        key = self.key[slot]
-        missed = np.flatnonzero((key[:, 0] != h1) | (key[:, 1] != h2) | long)
-        row, count = self.row[slot], self.size[slot].astype(np.int64)
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        k0 = eight[start] & FIRST[np.minimum(size, 8)]
+        k1 = eight[start + 8] & FIRST[np.clip(size - 8, 0, 8)]
+        rest = np.flatnonzero(size > 16)
+        if len(rest):
+            cut = np.minimum(size[rest], LONGEST) - 8
+            edge = np.cumsum(cut) - cut
+            nth = np.arange(int(cut.sum())) - np.repeat(edge, cut)
+            byte = buf[np.repeat(start[rest] + 8, cut) + nth].astype(np.uint64) + np.uint64(1)
+            k1[rest] = np.add.reduceat(byte * self.power[nth], edge)
+        mixed = (k0 * np.uint64(0x9E3779B97F4A7C15) ^ k1 * np.uint64(0xC2B2AE3D27D4EB4F) ^ k1 >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
+        slot, other = (mixed >> np.uint64(40)).astype(np.int64) % SLOTS, (mixed >> np.uint64(20)).astype(np.int64) % (SLOTS // 2)
+        found_rows = self.table[slot]
+
+        def missing(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+            key = rows[:, KEY].copy().view(np.uint64)
+            return (key[:, 0] != k0[at]) | (key[:, 1] != k1[at]) | (rows[:, COUNT] >> 16 != size[at])
+
+        missed = np.flatnonzero(missing(found_rows, slice(None)) | long)
+        if len(missed):
+            again = self.second[other[missed]]
+            absent = missing(again, missed) | long[missed]
+            found_rows[missed[~absent]] = again[~absent]
+            missed = missed[absent]
+        row, count = found_rows[:, IDS], (found_rows[:, COUNT] & 0xFFFF).astype(np.int64)
         apart: dict[int, list[int] | None] = {}
         if len(missed):
             mv = memoryview(buf)
@@ -157,15 +177,17 @@ class CachedTokenizer:
             held = np.where(lens <= WIDE, np.maximum(lens, 0), 0)
             table[np.arange(WIDE) < held[:, None]] = [i for x in short for i in x]
             row[missed], count[missed] = table[which], lens[which]
+            # Beside the count stands the part's length, without which a part and one with zero bytes after it were alike.
             fit = missed[(lens[which] >= 0) & (lens[which] <= WIDE) & ~long[missed]]
-            self.key[slot[fit], 0], self.key[slot[fit], 1] = h1[fit], h2[fit]
-            # Parts of one slot overwrite each other in the same order in every array, so a slot stays of one part.
-            self.size[slot[fit]] = count[fit]
-            self.row[slot[fit]] = row[fit]
+            fresh = np.empty((len(fit), 5 + WIDE), np.uint32)
+            fresh[:, KEY] = np.stack([k0[fit], k1[fit]], 1).view(np.uint32)
+            fresh[:, COUNT], fresh[:, IDS] = size[fit] << 16 | count[fit], row[fit]
+            free = self.table[slot[fit], COUNT] == 0
+            self.table[slot[fit[free]]] = fresh[free]
+            self.second[other[fit[~free]]] = fresh[~free]
             for k, u in zip(missed.tolist(), which.tolist(), strict=True):
                 if lens[u] < 0 or lens[u] > WIDE:
                     apart[k] = found[u]
-        owner = np.searchsorted(first, start, "right") - 1
         length = np.maximum(count, 0)
         place = np.cumsum(length) - length
         flat = np.empty(int(length.sum()), "<u4")
@@ -180,11 +202,12 @@ class CachedTokenizer:
             flat[normal] = row[np.arange(WIDE) < width[:, None]]
         else:
             flat[:] = row[np.arange(WIDE) < length[:, None]]
-        total = np.zeros(len(texts), np.int64)
-        np.add.at(total, owner, length)
-        ends = np.cumsum(total)
-        out = [flat[a:b].tobytes() for a, b in zip((ends - total).tolist(), ends.tolist(), strict=True)]
-        for i in {int(owner[k]) for k, ids in apart.items() if ids is None}:
+        # Where each text's parts begin, and so its ids.
+        begins = np.searchsorted(start, first)
+        ends = np.append(np.append(place, len(flat))[np.append(begins[1:], n)], 0)[:-1]
+        starts = np.append(0, ends[:-1])
+        out = [flat[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        for i in {int(np.searchsorted(first, start[k], "right")) - 1 for k, ids in apart.items() if ids is None}:
             out[i] = np.array(self._whole([texts[i]])[0], "<u4").tobytes()
         return out
 
