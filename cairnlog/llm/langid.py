@@ -16,11 +16,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, only
+from .common import hash_sample, held_out, only
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -205,11 +205,9 @@ class Network:
 def training_windows(docs: DataFrame, s: Settings) -> list[tuple[str, bytes]]:
     """At most docs_per_label documents of each language, by hash of the id, and of each a few windows of bytes.
 
-    The sample is bounded by the settings; its ids are chosen by a rank-limited window over ids alone."""
+    The sample is bounded by the settings; its ids are chosen over ids alone."""
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
-    ranked = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    chosen = [r.doc_id for r in ranked.withColumn("_n", place).filter(F.col("_n") <= s.docs_per_label).select("doc_id").distinct().collect()]
+    chosen = [r.doc_id for r in hash_sample(usable.select("doc_id", "lang"), "doc_id", s.docs_per_label, by="lang").select("doc_id").distinct().collect()]
     if not chosen:
         return []
 
@@ -225,7 +223,7 @@ def training_windows(docs: DataFrame, s: Settings) -> list[tuple[str, bytes]]:
                     at = int(rng.integers(0, max(1, len(raw) - s.train_window + 1)))
                     piece = raw[at : at + s.train_window]
                     out.append((int(doc_id), lang, (piece * -(-s.train_window // len(piece)))[: s.train_window]))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "piece"])
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "piece"], dtype=object)
 
     rows = usable.filter(F.col("doc_id").isin(chosen)).select("doc_id", "text", "lang").mapInPandas(windows, "doc_id long, lang string, piece binary").collect()
     return sorted((r.lang, bytes(r.piece)) for r in rows)
