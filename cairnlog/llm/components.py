@@ -55,8 +55,10 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b): b is joined to the smallest of a and all its b."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+    """pairs (a, b): b is joined to the smallest of a and all its b.
+
+    The minima are written first: both sides of the join are then plain exchanges, of which a hot one can be split."""
+    least = cut(pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")))
     return pairs.join(least, F.col("a") == F.col("k")).select("a", "b", "m")
 
 
@@ -73,7 +75,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         large = _star(_both_ways(edges)).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = cut(large.filter("a <> b").distinct())
         small = _star(large)  # here a > b throughout: each a's neighbours below it
         edges = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         now = _state(edges)
