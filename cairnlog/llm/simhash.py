@@ -183,7 +183,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, budget: int
 
 def one_of_each(docs: DataFrame, words: int = 3, seed: int = 42, budget: int = 3) -> DataFrame:
     """docs with one row of each class left, the one of least id; rows without an id stay. Columns are those of docs."""
-    found = stored(near_duplicates(docs, words, seed, budget), "simhash-classes")
+    return least_of_each(docs, near_duplicates(docs, words, seed, budget))
+
+
+def least_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of docs that one_of_each leaves, by the classes (doc_id, component_id) of its rows."""
+    found = stored(classes.select("doc_id", "component_id"), "simhash-classes")
     keep = found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows"))
     repeats = not keep.filter("_rows > 1").isEmpty()
     nameless = docs.filter(F.col("doc_id").isNull())

@@ -5,7 +5,7 @@ last return the columns of documents. Between stages the rows are written as Par
 starts at a scan and a lost executor repeats one stage's task, not the whole chain.
 
 * language: documents without a letter, or where the pooled probability stays under LEAST_SCORE, go.
-* near_duplicates: of each group of linked fingerprints the document of the smallest id stays.
+* near_duplicates: of each group linked by a similarity of 0.8 or more (five-word shingles) the document of the smallest id stays.
 * decontaminate: documents that hold a benchmark item, up to the error budget, go.
 * secrets: every document stays; secrets in its text are replaced and n_chars follows.
 * packing: sequences of at most 1024 tokens.
@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlog.llm import decontam, langid, packing, secrets, simhash
+from cairnlog.llm import decontam, langid, nearcopies, packing, secrets, simhash
 from cairnlog.llm.common import shared_dir, small_batches, table
 from cairnlog.llm.tokens import public_path
 
@@ -40,7 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return simhash.one_of_each(docs)
+    return simhash.least_of_each(docs, nearcopies.near_copies(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
