@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and novelty as measured by a primed compressor.
 
 The compressor is zstandard with a dictionary of identifiers and code words. A candidate is a run of characters that
-keys are written with, long enough, of letters and digits mixed. Its marginal size is what it adds, in bytes, to the
-compressed text around it. A candidate that hardly compresses (its marginal bits a character reach ``bits``) and that
-has a word of a sensitive context shortly before it is reported, unless a pattern has it already.
+keys are written with, long enough, of letters and digits mixed; a run is cut at each '=' that does not pad its end, so
+that a value stands without its name. A value whose own name is sensitive may be of letters or digits alone. A
+candidate's marginal size is what it adds, in bytes, to the compressed text around it. One that hardly compresses (its
+marginal bits a character reach ``bits``) and that has a word of a sensitive context shortly before it, or in its name,
+is reported, unless a pattern has it already.
 
 Defined results: a null text counts as empty and has no secret; repeated rows each get theirs; an empty table no rows.
 Spans are code points of the text, end exclusive.
@@ -29,8 +31,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-SENSITIVE = re.compile(r"password|passwd|pwd|secret|token|api[_-]?key|apikey|auth|credential|bearer|private|access|signature|session|cookie|\bkey\b", re.I | re.A)
+LEAST = 16
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+SENSITIVE = re.compile(r"password|passwd|pwd|secret|token|api[_-]?key|apikey|auth|credential|bearer|private|access|signature|session|cookie|(?<![a-z0-9])key(?![a-z0-9])", re.I | re.A)
 
 #: Identifiers and code words that common text around a secret is made of.
 IDENTIFIERS = " ".join(
@@ -82,21 +85,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
+def parts(run: str) -> list[tuple[int, int, int]]:
+    """(name, start, end) of what stands between the '=' of a run; name: where the part before it starts, or start.
+
+    What pads the run's end stays with the last part."""
+    out, name, last = [], -1, len(run.rstrip("="))
+    for m in re.finditer("[^=]+", run):
+        a, b = m.span()
+        out.append((a if name < 0 else name, a, b if b < last else len(run)))
+        name = a
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Incompressible candidates in a sensitive context that no base span covers."""
     found, k = [], 0
     by_end = sorted((b, a) for a, _, b in base)
     for m in RUN.finditer(text):
-        a, b = m.span()
-        word = m[0]
-        if word.isalpha() or word.isdigit() or not re.search("[A-Za-z]", word) or not re.search("[0-9]", word):
-            continue
-        while k < len(by_end) and by_end[k][0] <= a:
-            k += 1
-        if k < len(by_end) and by_end[k][1] < b:
-            continue
-        if SENSITIVE.search(text, max(0, a - novelty.s.before), a) and novelty.bits(text, a, b) >= novelty.s.bits:
-            found.append((a, 3, b))
+        for name, a, b in parts(m[0]):
+            name, a, b = name + m.start(), a + m.start(), b + m.start()
+            if b - a < LEAST:
+                continue
+            own = SENSITIVE.search(text, name, a)
+            if not own and not (re.search("[A-Za-z]", text[a:b]) and re.search("[0-9]", text[a:b])):
+                continue
+            while k < len(by_end) and by_end[k][0] <= a:
+                k += 1
+            if k < len(by_end) and by_end[k][1] < b:
+                continue
+            if (own or SENSITIVE.search(text, max(0, a - novelty.s.before), a)) and novelty.bits(text, a, b) >= novelty.s.bits:
+                found.append((a, 3, b))
     return found
 
 
