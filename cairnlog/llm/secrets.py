@@ -5,7 +5,7 @@ keys are written with, long enough, of letters and digits mixed; a run is cut at
 that a value stands without its name. A value whose own name is sensitive may be of letters or digits alone. A
 candidate's marginal size is what it adds, in bytes, to the compressed text around it. One that hardly compresses (its
 marginal bits a character reach ``bits``) and that has a word of a sensitive context shortly before it, or in its name,
-is reported, unless a pattern has it already.
+is reported, without what a pattern has already. Long candidates are measured, and reported, in pieces.
 
 Defined results: a null text counts as empty and has no secret; repeated rows each get theirs; an empty table no rows.
 Spans are code points of the text, end exclusive.
@@ -97,10 +97,33 @@ def parts(run: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def uncovered(a: int, b: int, covers: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of a to b the covers (apart and in order) leave."""
+    out = []
+    for lo, hi in covers:
+        if a < min(lo, b):
+            out.append((a, min(lo, b)))
+        a = max(a, hi)
+    return [*out, (a, b)] if a < b else out
+
+
+def novel_pieces(text: str, a: int, b: int, novelty: Novelty) -> list[tuple[int, int]]:
+    """What of a candidate reaches the bound, in even pieces of the longest size at most; neighbours are put together."""
+    n = -(-(b - a) // novelty.s.longest)
+    out: list[tuple[int, int]] = []
+    for k in range(n):
+        lo, hi = a + (b - a) * k // n, a + (b - a) * (k + 1) // n
+        if novelty.bits(text, lo, hi) >= novelty.s.bits:
+            out[-1:] = [(out[-1][0], hi)] if out and out[-1][1] == lo else [*out[-1:], (lo, hi)]
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Incompressible candidates in a sensitive context that no base span covers."""
+    """Incompressible candidates in a sensitive context, without what base spans cover."""
     found, k = [], 0
-    by_end = sorted((b, a) for a, _, b in base)
+    covers: list[tuple[int, int]] = []
+    for a, _, b in sorted(base):
+        covers[-1:] = [(covers[-1][0], max(b, covers[-1][1]))] if covers and a <= covers[-1][1] else [*covers[-1:], (a, b)]
     for m in RUN.finditer(text):
         for name, a, b in parts(m[0]):
             name, a, b = name + m.start(), a + m.start(), b + m.start()
@@ -109,12 +132,15 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
             own = SENSITIVE.search(text, name, a)
             if not own and not (re.search("[A-Za-z]", text[a:b]) and re.search("[0-9]", text[a:b])):
                 continue
-            while k < len(by_end) and by_end[k][0] <= a:
+            while k < len(covers) and covers[k][1] <= a:
                 k += 1
-            if k < len(by_end) and by_end[k][1] < b:
+            end = k
+            while end < len(covers) and covers[end][0] < b:
+                end += 1
+            if not uncovered(a, b, covers[k:end]):
                 continue
-            if (own or SENSITIVE.search(text, max(0, a - novelty.s.before), a)) and novelty.bits(text, a, b) >= novelty.s.bits:
-                found.append((a, 3, b))
+            if own or SENSITIVE.search(text, max(0, a - novelty.s.before), a):
+                found += [(x, 3, y) for lo, hi in novel_pieces(text, a, b, novelty) for x, y in uncovered(lo, hi, covers[k:end])]
     return found
 
 

@@ -31,3 +31,17 @@ def test_parts():
     assert secrets.parts("=ab==") == [(1, 1, 5)]
     assert secrets.parts("n=ab==cd=") == [(0, 0, 1), (0, 2, 4), (2, 6, 9)]
     assert secrets.parts("====") == []
+
+
+def test_long_runs_and_partly_covered_keys():
+    import random
+
+    n, rng = secrets.Novelty(), random.Random(7)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(8192))
+    assert secrets.novel_spans("the secret " + "A" * 8192 + noise, [], n) == [(11 + 8192, 3, 11 + 16384)]
+    assert secrets.novel_spans("the secret " + noise + "A" * 8192, [], n) == [(11, 3, 11 + 8192)]
+    text = "the bearer is Zk3vQ9xT7m" + "0a1b2c3d4e5f60718293a4b5" + "R4sN6cY1Wq"
+    got = secrets.spans(text, n)
+    assert got == [(14, 3, 24), (24, 2, 48), (48, 3, 58)]
+    assert secrets.redacted(text, got).startswith("the bearer is [SECRET]") and "R4sN" not in secrets.redacted(text, got)
+    assert secrets.uncovered(0, 10, [(0, 3), (5, 12)]) == [(3, 5)] and secrets.uncovered(2, 4, [(0, 9)]) == []
