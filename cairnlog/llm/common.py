@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver see: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a folder of this process is set."""
+    Only where the session names none and the master is local (tests) a folder of this process is set; on a cluster a
+    session without the setting is an error, since a machine's own folder is not seen by the others."""
     sc = spark.sparkContext
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         held = sc._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         set_dir = held.get() if held.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), f"cairnlog-{uuid.uuid4().hex}")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(set_dir)
@@ -40,7 +46,39 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.stored_at = path
+    _stored.append(path)
+    return table
+
+
+#: Folders that stored() has written and that are still there.
+_stored: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what stored() wrote inside: for results that are written whole before that."""
+    before = len(_stored)
+    try:
+        yield
+    finally:
+        for path in _stored[before:]:
+            remove(spark, path)
+        del _stored[before:]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what stored() wrote, once nothing reads it any more."""
+    for t in tables:
+        remove(t.sparkSession, t.stored_at)
+        _stored.remove(t.stored_at)
 
 
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
@@ -53,10 +91,12 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in an Arrow batch: with very long texts the default of 10,000 rows is no bound on memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of fewer rows, so that what Python makes of a batch is bounded; Spark bounds the batches
+    themselves by bytes (spark.sql.execution.arrow.maxBytesPerBatch)."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 #: Groups up to which their counts are broadcast (some 10 MB at most).

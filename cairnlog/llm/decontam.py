@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, slices
 
 WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, start long, end long, distance int, similarity double"
@@ -168,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             m = matcher(items, s)
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [(doc_id, *r) for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for r in m.find(text)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays(
@@ -187,7 +187,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             m = matcher(items, s)
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array(np.array([not m.find(t) for t in batch.column("text").to_pylist()], bool)))
 
         docs = docs.mapInArrow(run, docs.schema)

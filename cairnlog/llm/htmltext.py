@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, only, stored
+from .common import hash_sample, only, slices, stored
 from .urlfilter import host_of
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -349,7 +349,7 @@ def extract(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: dict[str, Wrapper | None] = {}
-        for batch in batches:
+        for batch in slices(batches):
             hosts = batch.column("host").to_pylist()
             written = [held.value.get(h) for h in hosts] if small else batch.column("wrapper").to_pylist()
             out = []

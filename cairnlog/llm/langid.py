@@ -4,12 +4,15 @@ Every byte position of a text gets a label distribution; the distribution of a d
 positions. Texts are read whole, in windows of ``window`` bytes that run side by side as one batch.
 
 Defined results: a null text, or one with no letter, is ``und`` with score 0. Without any labelled row to learn from
-every document is ``und``. Null ids are predicted like others but never learnt from. Repeated rows each get a row.
+every document is ``und``. Null ids are predicted like others but never learnt from. Repeated rows each get a row, an
+empty table none. Of labels equally likely the first in order is taken. identify() adds held_out, lang_pred and score to
+the columns that ``keep`` names, which must not hold those; recognised() keeps docs' columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, held_out, only
+from .common import hash_sample, held_out, only, slices
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -39,6 +42,10 @@ class Settings:
     steps: int = 260
     rate: float = 0.02
     seed: int = 7
+    #: recognised(): how far above chance the best label must be, of the way to certainty, and the greatest share of
+    #: letters that no training window held.
+    above_chance: float = 0.1
+    foreign: float = 0.5
 
 
 def squash(x: np.ndarray, room: np.ndarray) -> None:
@@ -62,6 +69,7 @@ class Network:
     def __init__(self, labels: list[str], hidden: int, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.labels, self.h = labels, hidden
+        self.letters: frozenset[str] = frozenset()
         g, c = 2 * hidden, len(labels)
         self.p = {
             "E": rng.normal(0, 0.3, (3 * g, 256)).astype(np.float32),
@@ -237,7 +245,9 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Network | None:
     labels = sorted({lang for lang, _ in rows})
     x = np.frombuffer(b"".join(piece for _, piece in rows), np.uint8).reshape(len(rows), s.train_window)
     y = np.array([labels.index(lang) for lang, _ in rows])
-    return Network(labels, s.hidden, s.seed).fit(x, y, s)
+    net = Network(labels, s.hidden, s.seed).fit(x, y, s)
+    net.letters = frozenset(LETTER.findall("".join(piece.decode("utf-8", "ignore") for _, piece in rows).lower()))
+    return net
 
 
 def predict_texts(net: Network | None, texts: list[str | None], s: Settings) -> tuple[list[str], list[float]]:
@@ -269,8 +279,40 @@ def identify(docs: DataFrame, s: Settings = Settings(), keep: tuple[str, ...] =
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             label, score = predict_texts(held.value, batch.column("text").to_pylist(), s)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
     return source.mapInArrow(predict, schema)
+
+
+def foreign_share(text: str, known: frozenset[str]) -> float:
+    """The share of a text's letters that the network never met."""
+    if text.isascii() and known.issuperset("abcdefghijklmnopqrstuvwxyz"):
+        return 0.0
+    counts = Counter(text.lower())
+    letters = {c: n for c, n in counts.items() if LETTER.match(c)}
+    return sum(n for c, n in letters.items() if c not in known) / max(1, sum(letters.values()))
+
+
+def accepted(net: Network, texts: list[str | None], s: Settings) -> list[bool]:
+    """Whether each text is in a language the network knows: it has letters, most of them met in training, and the best
+    label's probability is above chance (one over the number of labels) by the share of the rest that s asks for."""
+    chance = 1 / len(net.labels)
+    least = chance + s.above_chance * (1 - chance)
+    return [label != "und" and (score >= least or len(net.labels) == 1) and foreign_share(text, net.letters) <= s.foreign for text, label, score in zip(texts, *predict_texts(net, texts, s), strict=True)]
+
+
+def recognised(docs: DataFrame, s: Settings = Settings(), net: Network | None = None) -> DataFrame:
+    """docs without the rows whose text is in none of the languages learnt. Where no row is labelled nothing can be
+    learnt, and every row stays."""
+    net = net or train(only(docs, "doc_id", "text", "lang"), s)
+    if net is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(accepted(held.value, batch.column("text").to_pylist(), s), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

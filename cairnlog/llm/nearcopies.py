@@ -1,16 +1,21 @@
-"""Near copies by the exact Jaccard similarity of five-word shingles.
+"""Near copies: SimHash links first, then every other pair of a Jaccard similarity of 4/5 or more in five-word shingles.
 
-Two texts are linked when their sets of shingles (64-bit hashes) have a similarity of 4/5 or more. Every such pair is
-found: in any one order of all shingles, the first n - ceil(4n/5) + k of a set of n hold k that the other's first ones hold
+Fingerprints of the shingles are joined by simhash's trie; what it links is checked exactly and joined. 64 bits tell
+texts of a similarity of 0.97 and more apart from others, not those of 0.8, so the rest is found by an exact set join:
+in any one order of all shingles, the first n - ceil(4n/5) + k of a set of n hold k that the other's first ones hold
 too (prefix filtering). With k a tenth of the set, a set fewer of whose first shingles occur in any other set has no
-similar one. The order puts the shingles that are common in a sample last; it decides the cost alone.
+similar one; then the first n - ceil(4n/5) + 1 are enough to meet. The order puts the shingles that are common in a
+sample last; it decides the cost alone.
 
 Texts that share such a shingle are met in rounds. While lists of a shingle hold many pairs that no link joins yet, each
 list's texts are checked against one of them only; what is then joined needs no further check, so a large group of near
-copies costs no square of its size. The last round checks every pair that is still apart.
+copies costs no square of its size. In the last round every pair of a list that is still apart is compared by parity
+bitmaps of the sets, whose difference is at most that of the sets themselves, and what these do not rule out is checked.
+Lists are dealt out as pairs of their parts, so no task needs all of a long one, and only what passes leaves a task.
 
-Defined results: texts without a word are copies of each other; a text of fewer than five words is one shingle; a null
-id is no component's id (a component of null ids alone has a null one).
+Defined results: texts without a word are copies of each other; a text of fewer than five words is one shingle; texts
+are read whole, however long; a null id is no component's id (a component of null ids alone has a null one); an empty
+table gives no rows; other columns than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_GROUPS, only, stored
+from . import simhash
+from .common import BROADCAST_GROUPS, forget, only, slices, stored
 from .components import components
 
 WORDS = 5
 #: The documents and shingles that the order is made from.
 SAMPLE, COMMON = 20_000, 200_000
+#: Bits of a parity bitmap, and rows of a list that one side of a comparison holds (some three megabytes).
+PARITY, PART = 1024, 20_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -64,6 +72,12 @@ def least_shared(n: int | Column) -> int | Column:
     return 1 + (F.floor(least / 10) if isinstance(n, Column) else least // 10)
 
 
+def parity(found: np.ndarray) -> bytes:
+    """For each of PARITY bits whether an odd number of the set's hashes fall on it. A shingle that one of two sets has
+    alone turns one bit, so two bitmaps differ in no more bits than their sets do in shingles."""
+    return np.packbits(np.bincount((found % PARITY).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).tobytes()
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 5 * both >= 4 * (len(a) + len(b) - both)
@@ -77,7 +91,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         near = near.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(room)) < room * SAMPLE // total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["shingle"])
 
@@ -91,19 +105,19 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets_of(docs: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, key, n, prefix) for every row: the set of shingles by a hash, its size and the prefix."""
+    """(doc_id, key, n, fp, prefix) for every row: the set of shingles by a hash, its size, fingerprint and prefix."""
     held = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = held.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(t) for t in batch.column("text").to_pylist()]
             heads = [prefix(x, common, rank) for x in found]
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             heads = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), heads], names=["doc_id", "key", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array(np.array([simhash.majority(x) for x in found], np.uint64).view(np.int64)), heads], names=["doc_id", "key", "n", "fp", "prefix"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, key long, n int, prefix array<long>")
+    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, key long, n int, fp long, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -115,7 +129,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = texts.join(ids, F.col("doc_id") == F.col("_rep"), "left_semi").unionByName(texts.filter("doc_id IS NULL"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([key(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["key", "shingles"])
 
@@ -128,7 +142,7 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x, y = batch.column("x"), batch.column("y")
             good = [similar(x[k].values.to_numpy(), y[k].values.to_numpy()) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -138,57 +152,161 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def simhash_links(reps: DataFrame, whole: DataFrame, budget: int = 3) -> DataFrame:
+    """(a, b): links of ids whose fingerprints the trie join connects and whose sets are similar."""
+    first = stored(reps.groupBy("fp").agg(F.min("id").alias("first")), "near-prints")
+    alike = reps.join(first.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).filter(F.col("id") > F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    of = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_id"))
+    near = simhash.links(first.select("fp"), budget).join(of("a"), "a").join(of("b"), "b")
+    pairs = alike.unionByName(near.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")))
+    found = stored(checked(pairs.distinct(), whole), "near-links")
+    forget(first)
+    return found
+
+
+def compared(n: np.ndarray, kind: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of positions are of different classes and not ruled out: sizes within 4/5, 9 |A - B| <= |A| + |B|."""
+    ok = kind[i] != kind[j]
+    ok &= 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
+    at = np.flatnonzero(ok)
+    for lo in range(0, len(at), 1 << 16):
+        part = at[lo : lo + (1 << 16)]
+        apart = np.bitwise_count(bits[i[part]] ^ bits[j[part]]).sum(1, dtype=np.int64)
+        ok[part] = 9 * apart <= n[i[part]] + n[j[part]]
+    return ok
+
+
+def pairs_within(group: np.ndarray, second: np.ndarray, cross: np.ndarray, ids: np.ndarray, n: np.ndarray, kind: np.ndarray, bits: np.ndarray, small: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs of each group that compared() lets through. Groups are runs of rows; where cross, rows of the
+    first part meet those of the second alone."""
+    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(edge, len(group)))
+    left, right = [], []
+
+    def meet(i: np.ndarray, j: np.ndarray) -> None:
+        good = compared(n, kind, bits, i, j)
+        left.append(ids[i[good]])
+        right.append(ids[j[good]])
+
+    few = np.repeat((size <= small) & ~cross[edge], size)
+    for step in range(1, min(small, int(size.max()))):
+        i = np.flatnonzero(few[:-step] & (group[step:] == group[:-step]))
+        meet(i, i + step)
+    for at, width in zip(edge[(size > small) | cross[edge]].tolist(), size[(size > small) | cross[edge]].tolist(), strict=True):
+        rows = np.arange(at, at + width)
+        ours, theirs = (rows[~second[rows]], rows[second[rows]]) if cross[at] else (rows, rows)
+        theirs = theirs[np.argsort(n[theirs], kind="stable")]
+        sizes = n[theirs]
+        for r in ours.tolist():
+            # Sizes within 4/5 are one stretch of those in order.
+            lo, hi = np.searchsorted(sizes, [-(-4 * n[r] // 5), 5 * n[r] // 4 + 1])
+            j = theirs[lo:hi]
+            j = j if cross[at] else j[j > r]
+            meet(np.full(len(j), r), j)
+    return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
+
+
+def not_ruled_out(rows: DataFrame, part: int = 0) -> DataFrame:
+    """(a, b): pairs of one list (rows: shingle, id, n, class, bits) that are of two classes and may be similar."""
+    part = part or PART
+    sizes = rows.groupBy("shingle").agg(F.count("*").alias("_c")).filter(F.col("_c") > part)
+    large = sizes.select(F.col("shingle").alias("_s"), F.ceil(F.col("_c") / part).cast("int").alias("_parts"))
+    dealt = rows.join(large, F.col("shingle") == F.col("_s"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = dealt.select("shingle", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("second"), "id", "n", "class", "bits")
+    keys = ("shingle", "p", "q")
+
+    def go(b: pa.RecordBatch) -> pa.RecordBatch:
+        col = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c != "bits"}
+        bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint64).reshape(b.num_rows, PARITY // 64)
+        group = np.cumsum(np.concatenate([[0], np.any([col[k][1:] != col[k][:-1] for k in keys], axis=0)]))
+        x, y = pairs_within(group, col["second"].astype(bool), col["p"] != col["q"], col["id"], col["n"].astype(np.int64), col["class"], bits)
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups at a time: what the last batch may not have ended waits for the next."""
+        wait: list[pa.RecordBatch] = []
+        for batch in batches:
+            wait.append(batch)
+            if sum(b.num_rows for b in wait) < 20_000:
+                continue
+            held = pa.Table.from_batches(wait).combine_chunks().to_batches()[0]
+            change = np.flatnonzero(np.any([(c := held.column(k).to_numpy(zero_copy_only=False))[1:] != c[:-1] for k in keys], axis=0))
+            wait = [held]
+            if len(change):
+                yield go(held.slice(0, int(change[-1]) + 1))
+                wait = [held.slice(int(change[-1]) + 1)]
+        if wait and sum(b.num_rows for b in wait):
+            yield go(pa.Table.from_batches(wait).combine_chunks().to_batches()[0])
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def with_bits(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """rows (with id) and each id's parity bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = batch.column("shingles")
+            bits = [parity(sets[k].values.to_numpy().view(np.uint64)) for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bits, pa.binary())], names=["id", "bits"])
+
+    wanted = whole.join(rows.select(F.col("id").alias("_i")).distinct(), F.col("id") == F.col("_i"), "left_semi")
+    return rows.join(wanted.mapInArrow(run, "id long, bits binary").withColumnRenamed("id", "_b"), F.col("id") == F.col("_b")).drop("_b")
+
+
 def links(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame | None:
     """(a, b): links that connect exactly what similar sets connect; None where there are none."""
     distinct = sets.groupBy("key").agg(F.min("row").alias("id"), F.first("prefix").alias("prefix"))
-    rows = distinct.select(F.explode("prefix").alias("shingle"), "id")
-    lists = rows
+    lists = distinct.select(F.posexplode("prefix").alias("place", "shingle"), "id")
+    old: list[DataFrame] = []
     for _ in range(3):
         met = lists.withColumn("_n", F.count("*").over(Window.partitionBy("shingle"))).filter("_n > 1").drop("_n")
-        met = stored(met.select("shingle", "id"), "near-met")
+        met = stored(met.select("shingle", "id", "place"), "near-met")
+        forget(*old)
+        old = [met]
         shared = met.groupBy("id").agg(F.count("*").alias("_c")).withColumnRenamed("id", "_i")
         enough = reps.join(shared, F.col("id") == F.col("_i")).filter(F.col("_c") >= least_shared(F.col("n"))).select(F.col("id").alias("_i"), "n")
-        lists = met.join(enough, F.col("id") == F.col("_i")).select("shingle", "id", "n")
-    lists = stored(lists, "near-lists")
+        lists = met.join(enough, F.col("id") == F.col("_i")).select("shingle", "id", "place", "n")
+    # From here on one common shingle is enough to meet.
+    lists = stored(lists.filter(F.col("place") <= F.col("n") - F.floor((4 * F.col("n") + 4) / 5)).select("shingle", "id", "n"), "near-lists")
+    forget(*old)
     total = lists.count()
     if not total:
+        forget(lists)
         return None
     ids = lists.select(F.col("id").alias("_i")).distinct()
-    whole = stored(whole_sets(docs, stored(reps.join(ids, F.col("id") == F.col("_i")).select("rep", "key", "id"), "near-wanted")), "near-sets")
+    wanted = stored(reps.join(ids, F.col("id") == F.col("_i"), "left_semi").select("rep", "key", "id", "fp"), "near-wanted")
+    whole = stored(whole_sets(docs, wanted), "near-sets")
     near = (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & (F.col("class") != F.col("other"))
-    found, last, step = None, None, 0
+    found, last, step = simhash_links(wanted, whole), None, 0
     while True:
-        if found is None:
-            now = lists.select("shingle", "id", "n", F.col("id").alias("class"))
-        else:
-            roots = components(found).select(F.col("node").alias("_k"), "root")
-            now = stored(lists.join(roots, F.col("id") == F.col("_k"), "left").select("shingle", "id", "n", F.coalesce("root", "id").alias("class")), "near-classes")
+        roots = components(found).select(F.col("node").alias("_k"), "root")
+        now = stored(lists.join(roots, F.col("id") == F.col("_k"), "left").select("shingle", "id", "n", F.coalesce("root", "id").alias("class")), "near-classes")
         # Pairs of rows of a list that are not connected yet.
         parts = now.groupBy("shingle", "class").agg(F.count("*").cast("double").alias("c"))
         apart = parts.groupBy("shingle").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("s * s > q")
         open_ = apart.agg(F.sum(F.expr("(s * s - q) / 2"))).first()[0]
-        if not open_:
-            return found
-        few = open_ <= total or (last is not None and open_ > 0.9 * last)
-        if few:
-            left = now.join(apart.select(F.col("shingle").alias("_s")), F.col("shingle") == F.col("_s"), "left_semi")
-            right = left.select("shingle", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("class").alias("other"))
-            pairs = left.join(right, "shingle").filter(near & (F.col("id") < F.col("id2"))).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        else:
-            mark = F.struct(F.xxhash64("id", F.lit(step)).alias("h"), "id", "n", "class")
-            hubs = stored(now.groupBy("shingle").agg(F.min(mark).alias("x")).select("shingle", F.col("x.id").alias("id2"), F.col("x.n").alias("m"), F.col("x.class").alias("other")), "near-hubs")
-            pairs = now.join(hubs, "shingle").filter(near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        more = stored(checked(pairs.distinct(), whole), "near-links")
-        found = more if found is None else found.unionByName(more)
+        few = not open_ or open_ <= total or (last is not None and open_ > 0.9 * last)
         if few:
+            if open_:
+                left = now.join(apart.select(F.col("shingle").alias("_s")), F.col("shingle") == F.col("_s"), "left_semi")
+                found = found.unionByName(stored(checked(not_ruled_out(with_bits(left, whole)), whole), "near-links"))
+            forget(now, lists, wanted, whole)
             return found
+        mark = F.struct(F.xxhash64("id", F.lit(step)).alias("h"), "id", "n", "class")
+        hubs = stored(now.groupBy("shingle").agg(F.min(mark).alias("x")).select("shingle", F.col("x.id").alias("id2"), F.col("x.n").alias("m"), F.col("x.class").alias("other")), "near-hubs")
+        pairs = now.join(hubs, "shingle").filter(near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+        found = found.unionByName(stored(checked(pairs.distinct(), whole), "near-links"))
+        forget(now, hubs)
         last, step = open_, step + 1
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every row of docs: the least id that similar texts reach."""
     sets = stored(sets_of(docs, common_shingles(docs)).withColumn("row", F.monotonically_increasing_id()), "near-docs")
-    reps = stored(sets.groupBy("key").agg(F.min("row").alias("id"), F.min("doc_id").alias("rep"), F.first("n").alias("n")), "near-reps")
+    reps = stored(sets.groupBy("key").agg(F.min("row").alias("id"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")), "near-reps")
     found = links(docs, sets, reps)
     if found is None:
         named = reps.select(F.col("key").alias("_key"), F.col("rep").alias("component_id"))

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, slices
 
 # The three base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -161,7 +161,7 @@ def scan(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(s)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 out.append([{"kind": KINDS[k], "start": a, "end": b, "secret": text[a:b], "bits": novelty.bits(text, a, b)} for a, k, b in spans(text, novelty)])
@@ -197,7 +197,7 @@ def redact(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(s)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t if t is None else redacted(t, spans(t, novelty)) for t in batch.column("text").to_pylist()]
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             columns["text"] = pa.array(texts, pa.string())

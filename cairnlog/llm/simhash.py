@@ -4,7 +4,7 @@ Distinct fingerprints alone are joined; copies of a text cost one row. Two finge
 full on one of budget + 1 blocks of bits. Each fingerprint is written once for each block, rotated so that the block
 leads, and fingerprints of one leading block make one trie. Inside a trie pairs of nodes are walked down together: a
 pair carries the bits in which its paths differ so far and goes when they exceed the budget. A trie of more than
-``held`` fingerprints is dealt out as pairs of its parts, so no task needs all of it.
+``held`` fingerprints (a few megabytes) is dealt out as pairs of its parts, so no task needs all of it.
 
 What a task finds goes out as a forest (each fingerprint to the least one it hangs together with), which keeps every
 connection without every pair.
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, stored
+from .common import only, slices, stored
 from .components import components, forest
 
 BITS = 64
@@ -40,18 +40,22 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     stop = ends[min(words, len(parts)) - 1 :].tolist()
     start = [0, *(ends[: n - 1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(start, stop, strict=True)], "<u8")
+    return majority(np.array([digest(joined[a:b], seed) for a, b in zip(start, stop, strict=True)], "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is 1 where it is set in over half of them."""
     ones = np.zeros(BITS, np.int64)
-    for lo in range(0, n, 8192):
-        ones += np.unpackbits(h[lo : lo + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    for lo in range(0, len(h), 8192):
+        ones += np.unpackbits(h[lo : lo + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t, words, seed) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
@@ -103,7 +107,7 @@ def trie_pairs(values: np.ndarray, tries: np.ndarray, others: np.ndarray | None,
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(distinct: DataFrame, budget: int = 3, held: int = 512) -> DataFrame:
+def links(distinct: DataFrame, budget: int = 3, held: int = 200_000) -> DataFrame:
     """(a, b): links that connect exactly what fingerprints within the budget connect. distinct: column fp, no repeats."""
     width = BITS // (budget + 1)
     turned = [F.struct(F.lit(k).alias("block"), F.shiftleft("fp", k * width).bitwiseOR(F.shiftrightunsigned("fp", BITS - k * width) if k else F.lit(0).cast("long")).alias("turned")) for k in range(budget + 1)]
@@ -187,12 +191,18 @@ def one_of_each(docs: DataFrame, words: int = 3, seed: int = 42, budget: int = 3
 
 
 def least_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of docs that one_of_each leaves, by the classes (doc_id, component_id) of its rows."""
-    found = stored(classes.select("doc_id", "component_id"), "simhash-classes")
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows"))
-    repeats = not keep.filter("_rows > 1").isEmpty()
-    nameless = docs.filter(F.col("doc_id").isNull())
-    if not repeats:
-        return docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").unionByName(nameless)
-    first = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_nth = 1").drop("_nth")
-    return first.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").unionByName(nameless)
+    """The rows of docs that one_of_each leaves, by the classes (doc_id, component_id) of its rows.
+
+    Rows without an id stay. Of rows that repeat an id the one of the least text stays (then the least as JSON); it is
+    found by a pre-aggregated minimum, so an id that very many rows share is not gathered."""
+    found = stored(classes.filter("doc_id IS NOT NULL").select("doc_id", "component_id"), "simhash-classes")
+    own = F.max(F.col("doc_id") == F.col("component_id"))
+    keep = found.groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows"), own.alias("_own")).filter("_own").drop("_own")
+    named, nameless = docs.filter(F.col("doc_id").isNotNull()), docs.filter(F.col("doc_id").isNull())
+    once = named.join(keep.filter("_rows = 1"), F.col("doc_id") == F.col("_keep"), "left_semi")
+    if keep.filter("_rows > 1").isEmpty():
+        return once.unionByName(nameless)
+    again = named.join(keep.filter("_rows > 1"), F.col("doc_id") == F.col("_keep"), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = again.select(F.col("doc_id").alias("_id"), whole.alias("_row"), F.struct("text", F.to_json(whole)).alias("_by")).groupBy("_id").agg(F.min_by("_row", "_by").alias("_row"))
+    return once.unionByName(least.select("_row.*")).unionByName(nameless)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, shared_dir
+from .common import only, shared_dir, slices
 from .tokens import tokenizer
 
 MAGIC, BLOCK = b"WVMX1\n", 512
@@ -186,7 +186,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int, out: str, shard_tokens
         if doc_ids:
             yield close()
 
-    only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(build, FILES).write.parquet(out)
+    # The text's hash splits rows that share an id, or have none.
+    order = (F.col("doc_id"), F.xxhash64("text"), F.col("text"))
+    only(docs, "doc_id", "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInArrow(build, FILES).write.parquet(out)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,7 +201,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
         base[r.part], before = before, before + r.n
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for part, first, data in zip(*(batch.column(c).to_pylist() for c in ("part", "first_token", "file")), strict=True):
                 matrix, doc_ids, sizes = from_file(data)
                 ids = matrix.decode().astype("<u4").tobytes()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, held_out, only
+from .common import hash_sample, held_out, only, slices
 
 #: Letters of other scripts that look like Latin ones, and characters written for letters. l, 1 and | become i.
 LOOK_ALIKES = {
@@ -108,14 +108,14 @@ class Scorer:
             (out if weight else spared).append((a, b, weight))
         return [h for h in out if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)] if spared else out
 
-    def features(self, text: str) -> tuple[float, float]:
-        total = sum(w for _, _, w in self.hits(text)) if text else 0.0
+    def features(self, text: str, hits: list[tuple[int, int, float]] | None = None) -> tuple[float, float]:
+        total = sum(w for _, _, w in (self.hits(text) if hits is None else hits)) if text else 0.0
         if not total:
             return 0.0, 0.0
         return math.log1p(total), math.log1p(100 * total / max(20, text.count(" ") + text.count("\n") + 1))
 
-    def score(self, text: str | None) -> float:
-        x, y = self.features(text or "")
+    def score(self, text: str | None, hits: list[tuple[int, int, float]] | None = None) -> float:
+        x, y = self.features(text or "", hits)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.theta[0] + self.theta[1] * x + self.theta[2] * y)))))
 
 
@@ -198,10 +198,11 @@ def score(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sc = held.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            scores = [sc.score(t) if sc else 0.0 for t in texts]
-            hits = [[{"start": a, "end": b, "weight": w} for a, b, w in sc.hits(t)] if sc and t else [] for t in texts]
+            found = [sc.hits(t) if sc and t else [] for t in texts]
+            scores = [sc.score(t, h) if sc else 0.0 for t, h in zip(texts, found, strict=True)]
+            hits = [[{"start": a, "end": b, "weight": w} for a, b, w in h] for h in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(v >= 0.5) for v in scores], pa.int32()), pa.array(hits, kind)], names=["doc_id", "held_out", "score", "predicted", "hits"])
 
     source = docs.select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -81,6 +82,7 @@ def test_large_group_and_common_passage(spark, monkeypatch):
     assert sorted(kept(spark, rows)) == want
     monkeypatch.setattr(nearcopies, "SAMPLE", 20)
     monkeypatch.setattr(nearcopies, "COMMON", 10)
+    monkeypatch.setattr(nearcopies, "PART", 30)
     assert sorted(kept(spark, rows)) == want
     assert kept(spark, []) == []
 
@@ -99,8 +101,71 @@ def test_prefixes_of_similar_sets_meet():
             assert len(shared) >= max(nearcopies.least_shared(len(a)), nearcopies.least_shared(len(b)))
 
 
+@pytest.mark.parametrize("part", [0, 7])
+def test_last_round_rules_out_no_similar_pair(spark, part):
+    """Small and large lists, and lists dealt out as parts, against all pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 60, 150).astype(np.uint64)
+    sets, rows = {}, []
+    for k in range(130):
+        found = np.unique(np.concatenate([base[rng.random(150) > rng.choice([0.03, 0.1, 0.3])], rng.integers(0, 1 << 60, rng.integers(0, 12)).astype(np.uint64)]))
+        sets[k] = found
+        assert len(nearcopies.parity(found)) == nearcopies.PARITY // 8
+        rows += [(s, k, len(found), k % 60, bytearray(nearcopies.parity(found))) for s in ([1] if k < 90 else []) + ([2] if k % 9 == 0 else []) + [100 + k // 3]]
+    df = spark.createDataFrame(rows, "shingle long, id long, n int, class long, bits binary")
+    got = {(r.a, r.b) for r in nearcopies.not_ruled_out(df, part).collect()}
+    met = {(a, b) for a in sets for b in sets if a < b and a % 60 != b % 60 and ((a < 90 and b < 90) or (a % 9 == 0 and b % 9 == 0) or a // 3 == b // 3)}
+    want = {p for p in met if nearcopies.similar(sets[p[0]], sets[p[1]])}
+    assert want <= got <= met and len(want) > 100 and len(got) < len(met)
+
+
+def test_simhash_links_are_similar(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+        rows += [" ".join(edited(rng, base, k)) for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = nearcopies.sets_of(docs, nearcopies.common_shingles(docs)).withColumn("id", F.col("doc_id")).withColumnRenamed("doc_id", "rep")
+    found = nearcopies.simhash_links(sets.select("rep", "key", "id", "fp"), nearcopies.whole_sets(docs, sets.select("rep", "key", "id")))
+    pairs = {(r.a, r.b) for r in found.collect()}
+    assert len(pairs) > 20 and all(a // 3 == b // 3 for a, b in pairs)
+
+
 def test_stage_on_the_small_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     out = corpus_pipeline.near_duplicates(spark, docs, SMALL)
     assert sorted(r.doc_id for r in out.select(F.col("doc_id")).collect()) == brute_kept(rows)
+
+
+def test_every_stage_on_odd_tables(spark):
+    """Nulls, repeats, clashing names and an empty table through all stages."""
+    rng = random.Random(10)
+    text = lambda: " ".join(rng.choice(("the", "and", "house", "with", "from", "there", "night", "morning")) + str(k % 7) * (k % 3 == 0) for k in range(80))
+    rows = [(k, text(), ("en", "fr")[k % 2], None, None, 0.5, True, "x", k) for k in range(60)]
+    rows += [(None, text(), None, "s", 3, None, None, None, None), (5, text(), "en", "s", 3, 1.0, False, "y", 1), (7, None, "en", None, None, None, None, None, None), (8, "", None, None, 0, 0.1, None, None, None), (9, rows[3][1], "en", None, 1, None, None, None, None)]
+    rows += [(100, text() * 400, "en", "long", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, held_out boolean, lang_pred string, key long")
+    for table in (docs, docs.limit(0), docs.withColumn("lang", F.lit(None).cast("string"))):
+        left = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, left, SMALL)
+            assert out.schema.names == docs.schema.names, name
+            left = spark.createDataFrame(out.collect(), docs.schema)
+        ids = [r.doc_id for r in left.collect()]
+        assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+        packed = corpus_pipeline.packing_stage(spark, left, SMALL).collect()
+        assert {r.doc_id for r in packed} == set(ids) and all(len(r.ids) == 4 * r.length for r in packed)
+        assert bool(ids) == bool(table.count())
+
+
+def test_language_stage_rejects(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    strange = [(10001, "Это русский текст про погоду и всякое такое " * 5, None), (10002, "这是一个关于天气的中文文本" * 10, None), (10003, "12 34 -- ??", None), (10004, None, None)]
+    for labels in (("en", "fr", "de", "es"), ("en", "fr")):
+        mixed = docs.withColumn("lang", F.when(F.col("lang").isin(*labels), F.col("lang"))).unionByName(spark.createDataFrame(strange, docs.schema))
+        out = {r.doc_id for r in corpus_pipeline.language(spark, mixed, SMALL).collect()}
+        assert not out & {10001, 10002, 10003, 10004}
+        clean = {r.doc_id for r in docs.filter(F.col("lang").isin(*labels)).collect()}
+        assert len(out & clean) >= 0.97 * len(clean)
