@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; a local temporary folder only where the session names none (tests)."""
+    """A new path below the shared folder; a temporary folder only on a local master that names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held, master = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext.master
+        if not held.isDefined() and not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = held.get() if held.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "cairnlog")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
