@@ -1,5 +1,6 @@
 """Near-duplicates, components and exact search against brute force; the pipeline stage by stage."""
 
+import math
 import random
 
 import duckdb
@@ -125,14 +126,14 @@ def test_near_duplicates(spark):
 
 
 def brute_top(rows, k=5, every=50):
-    usable = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q in sorted({i for i, _ in usable if i % every == 0}):
         best = {}
         for i, a in usable:
             for j, b in usable:
                 if i == q and j != q and len(a) == len(b):
-                    best[j] = max(best.get(j, -(1 << 60)), int(a @ b))
+                    best[j] = max(best.get(j, -topk.LONG), min(topk.LONG, sum(x * y for x, y in zip(a, b, strict=True))))
         out += [(q, n, j, s) for n, (s, j) in enumerate(sorted(((s, j) for j, s in best.items()), key=lambda x: (-x[0], x[1]))[:k], 1)]
     return out
 
@@ -145,12 +146,40 @@ def test_top_k(spark, seed):
     rows += [(2000, None), (2050, []), (2100, [float("nan")] * 8), (2150, [1.0, None] * 4), (2200, [float("inf")] * 8), (None, [0.0] * 8), (2250, [0.5] * 3), (2251, [0.25] * 3), (50, rows[50][1]), (51, rng.normal(0, 0.5, 8).tolist()), (2300, [0.0] * 8)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id bigint, embedding array<double>, rank int, pivot int")
     want = brute_top(rows)
-    for s in (topk.Settings(), topk.Settings(pivots=3, sample=10, annulus=16, block=4)):
+    for s in (topk.Settings(), topk.Settings(pivots=3, sample=10, annulus=16, shard=4, part=3, near=1, metas=4)):
         got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, s).collect())
         assert got == want
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Sums beyond 2^53 and 2^63 stay exact."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), (rng.choice([1.2e6, 2.3e6, -1.7e6], 8) + rng.integers(0, 9, 8) / 256).tolist()) for i in range(120)]
+    rows += [(200 + i, (rng.normal(0, 1e9, 8)).tolist()) for i in range(30)] + [(250 + i, [1e200] * 8) for i in range(3)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), topk.Settings(annulus=16, pivots=4)).collect())
+    assert got == brute_top(rows)
+
+
+def test_top_k_prunes_clusters(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (40, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, (centres[i * 7 % 40] + rng.normal(0, 0.03, 16)).tolist()) for i in range(6000)]
+    seen = spark.sparkContext.accumulator(0)
+    s = topk.Settings(annulus=32, shard=16)
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), s, seen).collect()
+    x = np.floor(256 * np.array([v for _, v in rows]))
+    every = x[::50] @ x.T
+    for r in found:
+        assert every[r.query_id // 50, r.vec_id] == r.score
+    every[np.arange(len(every)), np.arange(0, 6000, 50)] = -np.inf
+    want = np.sort(every, 1)[:, ::-1][:, :5]
+    assert all(want[r.query_id // 50, r["rank"] - 1] == r.score for r in found) and len(found) == 5 * len(every)
+    share = seen.value / (len(every) * 6000 / s.annulus)
+    assert share < 0.25, share
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_queries_with_sql(spark, name):
     con = duckdb.connect()
