@@ -9,9 +9,11 @@ sample last; it decides the cost alone.
 
 Texts that share such a shingle are met in rounds. While lists of a shingle hold many pairs that no link joins yet, each
 list's texts are checked against one of them only; what is then joined needs no further check, so a large group of near
-copies costs no square of its size. In the last round every pair of a list that is still apart is compared by parity
-bitmaps of the sets, whose difference is at most that of the sets themselves, and what these do not rule out is checked.
-Lists are dealt out as pairs of their parts, so no task needs all of a long one, and only what passes leaves a task.
+copies costs no square of its size. In the last rounds every pair of a list that is still apart is compared by parity
+bitmaps of the sets, whose difference is at most that of the sets themselves, and what these do not rule out is checked:
+all such pairs of a list, or, where they are more than its rows, the nearest one that leaves each class, and again until
+none is left over (all of them at last, should a round join nothing). Lists are dealt out as pairs of their parts, so no
+task needs all of a long one.
 
 Defined results: texts without a word are copies of each other; a text of fewer than five words is one shingle; texts
 are read whole, however long; a null id is no component's id (a component of null ids alone has a null one); an empty
@@ -165,49 +167,94 @@ def simhash_links(reps: DataFrame, whole: DataFrame, budget: int = 3) -> DataFra
 
 
 def compared(n: np.ndarray, kind: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of positions are of different classes and not ruled out: sizes within 4/5, 9 |A - B| <= |A| + |B|."""
-    ok = kind[i] != kind[j]
-    ok &= 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
-    at = np.flatnonzero(ok)
+    """The bits in which pairs of positions differ, over |A| + |B|; infinite where they are of one class or ruled out:
+    sizes not within 4/5, or 9 |A - B| > |A| + |B| by the bits alone."""
+    out = np.full(len(i), np.inf)
+    at = np.flatnonzero((kind[i] != kind[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])))
     for lo in range(0, len(at), 1 << 16):
         part = at[lo : lo + (1 << 16)]
-        apart = np.bitwise_count(bits[i[part]] ^ bits[j[part]]).sum(1, dtype=np.int64)
-        ok[part] = 9 * apart <= n[i[part]] + n[j[part]]
-    return ok
-
-
-def pairs_within(group: np.ndarray, second: np.ndarray, cross: np.ndarray, ids: np.ndarray, n: np.ndarray, kind: np.ndarray, bits: np.ndarray, small: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the pairs of each group that compared() lets through. Groups are runs of rows; where cross, rows of the
-    first part meet those of the second alone."""
+        apart, both = np.bitwise_count(bits[i[part]] ^ bits[j[part]]).sum(1, dtype=np.int64), n[i[part]] + n[j[part]]
+        out[part] = np.where(9 * apart <= both, apart / np.maximum(both, 1), np.inf)
+    return out
+
+
+class Nearest:
+    """Of the pairs of a group's rows: all of them while they are no more than the rows; beyond, for each class the
+    nearest pair that leaves it, so that neither memory nor what goes out grows with the square of the group."""
+
+    def __init__(self, kind: np.ndarray, room: int):
+        self.of, self.room, self.count = np.unique(kind, return_inverse=True)[1], room, 0
+        self.all: list[tuple[np.ndarray, np.ndarray]] | None = []
+        k = self.of.max() + 1
+        self.near, self.a, self.b = np.full(k, np.inf), np.zeros(k, np.int64), np.zeros(k, np.int64)
+
+    def add(self, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> None:
+        good = np.isfinite(apart)
+        i, j, apart = i[good], j[good], apart[good]
+        if not len(i):
+            return
+        self.count += len(i)
+        if self.all is not None:
+            self.all.append((i, j))
+            if self.count > self.room:
+                self.all = None
+        for side in (i, j):
+            c = self.of[side]
+            order = np.lexsort((apart, c))
+            first = order[np.concatenate([[True], c[order][1:] != c[order][:-1]])]
+            first = first[apart[first] < self.near[c[first]]]
+            self.near[c[first]], self.a[c[first]], self.b[c[first]] = apart[first], i[first], j[first]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        if self.all is not None:
+            return *(np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*self.all, strict=True) if self.all else ((), ()))), True
+        ok = np.isfinite(self.near)
+        return self.a[ok], self.b[ok], False
+
+
+def pairs_within(group: np.ndarray, second: np.ndarray, cross: np.ndarray, ids: np.ndarray, n: np.ndarray, kind: np.ndarray, bits: np.ndarray, every: bool = False, small: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the pairs of each group that compared() lets through, and whether they are all of their group's. Groups are
+    runs of rows; where cross, rows of the first part meet those of the second alone. every: all pairs in any case."""
     edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.append(edge, len(group)))
-    left, right = [], []
+    left, right, whole = [], [], []
 
-    def meet(i: np.ndarray, j: np.ndarray) -> None:
-        good = compared(n, kind, bits, i, j)
-        left.append(ids[i[good]])
-        right.append(ids[j[good]])
+    def give(i: np.ndarray, j: np.ndarray, all_: bool) -> None:
+        left.append(ids[i])
+        right.append(ids[j])
+        whole.append(np.full(len(i), all_))
 
     few = np.repeat((size <= small) & ~cross[edge], size)
     for step in range(1, min(small, int(size.max()))):
         i = np.flatnonzero(few[:-step] & (group[step:] == group[:-step]))
-        meet(i, i + step)
+        good = np.isfinite(compared(n, kind, bits, i, i + step))
+        give(i[good], i[good] + step, True)
     for at, width in zip(edge[(size > small) | cross[edge]].tolist(), size[(size > small) | cross[edge]].tolist(), strict=True):
         rows = np.arange(at, at + width)
         ours, theirs = (rows[~second[rows]], rows[second[rows]]) if cross[at] else (rows, rows)
         theirs = theirs[np.argsort(n[theirs], kind="stable")]
-        sizes = n[theirs]
+        sizes, nearest = n[theirs], Nearest(kind[rows], width)
         for r in ours.tolist():
             # Sizes within 4/5 are one stretch of those in order.
             lo, hi = np.searchsorted(sizes, [-(-4 * n[r] // 5), 5 * n[r] // 4 + 1])
             j = theirs[lo:hi]
             j = j if cross[at] else j[j > r]
-            meet(np.full(len(j), r), j)
-    return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
-
-
-def not_ruled_out(rows: DataFrame, part: int = 0) -> DataFrame:
-    """(a, b): pairs of one list (rows: shingle, id, n, class, bits) that are of two classes and may be similar."""
+            apart = compared(n, kind, bits, np.full(len(j), r), j)
+            if every:
+                give(np.full(np.isfinite(apart).sum(), r), j[np.isfinite(apart)], True)
+            else:
+                nearest.add(np.full(len(j), r - at), j - at, apart)
+        if not every:
+            i, j, all_ = nearest.pairs()
+            give(i + at, j + at, all_)
+    return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right]), np.concatenate([np.zeros(0, bool), *whole])
+
+
+def not_ruled_out(rows: DataFrame, part: int = 0, every: bool = False) -> DataFrame:
+    """(a, b, whole): pairs of one list (rows: shingle, id, n, class, bits) that are of two classes and may be similar.
+
+    Where a list has more of them than rows it gives the nearest pair of each class instead, with whole false (every:
+    all the same)."""
     part = part or PART
     sizes = rows.groupBy("shingle").agg(F.count("*").alias("_c")).filter(F.col("_c") > part)
     large = sizes.select(F.col("shingle").alias("_s"), F.ceil(F.col("_c") / part).cast("int").alias("_parts"))
@@ -220,9 +267,9 @@ def not_ruled_out(rows: DataFrame, part: int = 0) -> DataFrame:
         col = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c != "bits"}
         bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint64).reshape(b.num_rows, PARITY // 64)
         group = np.cumsum(np.concatenate([[0], np.any([col[k][1:] != col[k][:-1] for k in keys], axis=0)]))
-        x, y = pairs_within(group, col["second"].astype(bool), col["p"] != col["q"], col["id"], col["n"].astype(np.int64), col["class"], bits)
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        x, y, whole = pairs_within(group, col["second"].astype(bool), col["p"] != col["q"], col["id"], col["n"].astype(np.int64), col["class"], bits, every)
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), whole.astype(np.int64)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(both[:, 2] == 1)], names=["a", "b", "whole"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole groups at a time: what the last batch may not have ended waits for the next."""
@@ -240,7 +287,7 @@ def not_ruled_out(rows: DataFrame, part: int = 0) -> DataFrame:
         if wait and sum(b.num_rows for b in wait):
             yield go(pa.Table.from_batches(wait).combine_chunks().to_batches()[0])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, whole boolean").distinct()
 
 
 def with_bits(rows: DataFrame, whole: DataFrame) -> DataFrame:
@@ -280,7 +327,7 @@ def links(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame | None
     wanted = stored(reps.join(ids, F.col("id") == F.col("_i"), "left_semi").select("rep", "key", "id", "fp"), "near-wanted")
     whole = stored(whole_sets(docs, wanted), "near-sets")
     near = (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & (F.col("class") != F.col("other"))
-    found, last, step = simhash_links(wanted, whole), None, 0
+    found, last, step, few, stuck = simhash_links(wanted, whole), None, 0, False, False
     while True:
         roots = components(found).select(F.col("node").alias("_k"), "root")
         now = stored(lists.join(roots, F.col("id") == F.col("_k"), "left").select("shingle", "id", "n", F.coalesce("root", "id").alias("class")), "near-classes")
@@ -288,13 +335,21 @@ def links(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame | None
         parts = now.groupBy("shingle", "class").agg(F.count("*").cast("double").alias("c"))
         apart = parts.groupBy("shingle").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("s * s > q")
         open_ = apart.agg(F.sum(F.expr("(s * s - q) / 2"))).first()[0]
-        few = not open_ or open_ <= total or (last is not None and open_ > 0.9 * last)
+        few = few or not open_ or open_ <= total or (last is not None and open_ > 0.9 * last)
         if few:
-            if open_:
-                left = now.join(apart.select(F.col("shingle").alias("_s")), F.col("shingle") == F.col("_s"), "left_semi")
-                found = found.unionByName(stored(checked(not_ruled_out(with_bits(left, whole)), whole), "near-links"))
-            forget(now, lists, wanted, whole)
-            return found
+            if not open_:
+                forget(now, lists, wanted, whole)
+                return found
+            left = now.join(apart.select(F.col("shingle").alias("_s")), F.col("shingle") == F.col("_s"), "left_semi")
+            near_pairs = stored(not_ruled_out(with_bits(left, whole), every=stuck), "near-pairs")
+            more = stored(checked(near_pairs.select("a", "b").distinct(), whole), "near-links")
+            found = found.unionByName(more)
+            over, stuck = stuck or near_pairs.filter("NOT whole").isEmpty(), more.isEmpty()
+            forget(now, near_pairs)
+            if over:
+                forget(lists, wanted, whole)
+                return found
+            continue
         mark = F.struct(F.xxhash64("id", F.lit(step)).alias("h"), "id", "n", "class")
         hubs = stored(now.groupBy("shingle").agg(F.min(mark).alias("x")).select("shingle", F.col("x.id").alias("id2"), F.col("x.n").alias("m"), F.col("x.class").alias("other")), "near-hubs")
         pairs = now.join(hubs, "shingle").filter(near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
