@@ -1,14 +1,17 @@
 """Secret scans: fixed patterns, and novelty as measured by a primed compressor.
 
-The compressor is zstandard with a dictionary of identifiers and code words. A candidate is a run of characters that
-keys are written with, long enough, of letters and digits mixed; a run is cut at each '=' that does not pad its end, so
-that a value stands without its name. A value whose own name is sensitive may be of letters or digits alone. A
-candidate's marginal size is what it adds, in bytes, to the compressed text around it. One that hardly compresses (its
-marginal bits a character reach ``bits``) and that has a word of a sensitive context shortly before it, or in its name,
-is reported, without what a pattern has already. Long candidates are measured, and reported, in pieces.
-
-Defined results: a null text counts as empty and has no secret; repeated rows each get theirs; an empty table no rows.
-Spans are code points of the text, end exclusive.
+The compressor is zstandard, primed with a dictionary of code words and of the identifiers that are most common in the
+corpus itself (counted over all its texts). A candidate is a run of characters that keys are written with, long enough;
+a run is cut at each '=' that does not pad its end, so that a value stands without its name. It must be of letters and
+digits mixed, or of letters whose case changes as no written word's does; a value whose own name is sensitive may be of
+any. A candidate's marginal size is what it adds, in bytes, to the compressed text around it. One that hardly compresses
+(its marginal bits a character reach ``bits``) and that has a word of a sensitive context in its name or shortly before
+or after it is reported, without what a pattern has already. Long candidates are measured, and reported, in pieces.
+
+Defined results: a null text counts as empty and has no secret; very long texts are scanned whole; repeated rows each get
+theirs; an empty table gives no rows; where spans overlap both are given (redact() replaces them as one); other columns
+than doc_id and text are not read by scan() and kept by redact(), whatever their names. Spans are code points of the
+text, end exclusive.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ KINDS = ("assign", "access", "hex", "novel")
 
 LEAST = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-SENSITIVE = re.compile(r"password|passwd|pwd|secret|token|api[_-]?key|apikey|auth|credential|bearer|private|access|signature|session|cookie|(?<![a-z0-9])key(?![a-z0-9])", re.I | re.A)
+SENSITIVE = re.compile(r"password|passwd|pass[ _-]?phrase|passcode|pwd|secret|token|api[_-]?key|apikey|auth|credential|bearer|private|access|signature|session|cookie|(?<![a-z0-9])key(?![a-z0-9])", re.I | re.A)
 
 #: Identifiers and code words that common text around a secret is made of.
 IDENTIFIERS = " ".join(
@@ -50,7 +53,9 @@ IDENTIFIERS = " ".join(
     service session set shell signature size source spec start state static status stdin stdout string struct super
     switch sync table tag target task test text this throw time timeout timestamp title token true try type uint undefined
     update upload url user username uuid value var vector version view void while with write yaml yield""".split()
-).encode()
+)
+#: Names in front of an assignment, a call or a key's colon; shorter than any candidate, so that none is learnt whole.
+NAME = r"(?<![A-Za-z0-9_])([A-Za-z_]{4,15})(?=[\"']?\x20?[=:(])"
 
 
 @dataclass(frozen=True)
@@ -58,15 +63,19 @@ class Settings:
     bits: float = 4.5
     around: int = 256
     before: int = 48
+    after: int = 48
     longest: int = 4096
+    identifiers: int = 1500
 
 
 class Novelty:
-    """Marginal compressed size under the identifier dictionary."""
+    """Marginal compressed size under the identifier dictionary; learnt: the corpus's own, most common first."""
 
-    def __init__(self, s: Settings = Settings()):
+    def __init__(self, s: Settings = Settings(), learnt: tuple[str, ...] = ()):
         self.s = s
-        words = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        # What stands last in a dictionary is the cheapest to refer to.
+        words = zstandard.ZstdCompressionDict(" ".join([*learnt[::-1], IDENTIFIERS]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(level=3)
         self.size = lambda data, c=zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=False, write_checksum=False): len(c.compress(data))
 
     def bits(self, text: str, start: int, end: int) -> float:
@@ -107,6 +116,13 @@ def uncovered(a: int, b: int, covers: list[tuple[int, int]]) -> list[tuple[int,
     return [*out, (a, b)] if a < b else out
 
 
+def mixed(run: str) -> bool:
+    """Letters and digits, or letters whose case goes up more often than from word to word."""
+    if not re.search("[A-Za-z]", run):
+        return False
+    return bool(re.search("[0-9]", run)) or len(re.findall("[a-z][A-Z]", run)) >= max(3, 0.17 * len(run))
+
+
 def novel_pieces(text: str, a: int, b: int, novelty: Novelty) -> list[tuple[int, int]]:
     """What of a candidate reaches the bound, in even pieces of the longest size at most; neighbours are put together."""
     n = -(-(b - a) // novelty.s.longest)
@@ -130,7 +146,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
             if b - a < LEAST:
                 continue
             own = SENSITIVE.search(text, name, a)
-            if not own and not (re.search("[A-Za-z]", text[a:b]) and re.search("[0-9]", text[a:b])):
+            if not own and not mixed(text[a:b]):
                 continue
             while k < len(covers) and covers[k][1] <= a:
                 k += 1
@@ -139,7 +155,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
                 end += 1
             if not uncovered(a, b, covers[k:end]):
                 continue
-            if own or SENSITIVE.search(text, max(0, a - novelty.s.before), a):
+            if own or SENSITIVE.search(text, max(0, a - novelty.s.before), a) or SENSITIVE.search(text, b, b + novelty.s.after):
                 found += [(x, 3, y) for lo, hi in novel_pieces(text, a, b, novelty) for x, y in uncovered(lo, hi, covers[k:end])]
     return found
 
@@ -154,13 +170,22 @@ def written(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 
 
+def identifiers(docs: DataFrame, s: Settings = Settings()) -> tuple[str, ...]:
+    """The corpus's most common names, by how often they stand in all texts; s.identifiers of them at most."""
+    names = only(docs, "text").select(F.explode(F.regexp_extract_all("text", F.lit(NAME), F.lit(1))).alias("name"))
+    counts = names.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
+    return tuple(r.name for r in counts.orderBy(F.desc("n"), "name").limit(s.identifiers).collect())
+
+
 def scan(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, found) for every row: found is the array of (kind, start, end, secret, bits)."""
     schema = "doc_id long, found array<struct<kind: string, start: long, end: long, secret: string, bits: double>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.string()), ("bits", pa.float64())]))
 
+    learnt = identifiers(docs, s)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty(s)
+        novelty = Novelty(s, learnt)
         for batch in slices(batches):
             out = []
             for text in batch.column("text").to_pylist():
@@ -195,8 +220,10 @@ def redacted(text: str, found: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs with the secrets in text replaced; n_chars, where there is one, follows. No row goes."""
 
+    learnt = identifiers(docs, s)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty(s)
+        novelty = Novelty(s, learnt)
         for batch in slices(batches):
             texts = [t if t is None else redacted(t, spans(t, novelty)) for t in batch.column("text").to_pylist()]
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
