@@ -4,13 +4,17 @@ A test item of m words may differ from a passage in e = floor(rate * m) word edi
 piece must stand in the passage unchanged. All pieces are searched for at once (Aho-Corasick), and around each hit the
 whole item is verified with Myers' bit-parallel edit distance, its alphabet being words.
 
-Words are runs of letters, digits and underscores, lower-cased; everything between them is ignored. With the default
-rate a passage is found from a similarity of 0.8. Items of fewer than ``least`` words are too short to tell a leak from
-chance and are not searched.
-
-Items are bounded blocks: each block of at most ``block_chars`` characters is one pass over the documents, however many
-blocks there are. Defined results: null and empty texts and items match nothing; repeated documents and items each get
-their rows; no items, no rows.
+Words are runs of letters, digits and underscores, lower-cased, items and documents by the same function; everything
+between them is ignored. In scripts that are written without spaces each character is a word. With the default rate a
+passage is found from a similarity of 0.8; an item of fewer than five words has no budget and is found where it stands
+unchanged.
+
+Distinct items are taken in blocks of about ``block_chars`` characters, each one pass over the documents, however many
+blocks there are; what was found is joined with the items afterwards, so an item that is repeated very often costs no
+more. Defined results: null and empty texts, and items without a word, match nothing; repeated documents and items each
+get their rows; very long texts and items are matched whole; of passages that overlap the best one is given, then the
+first; no items, no rows; other columns than the ids and text are not read by leaks() and kept by without_leaks(),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,17 +33,23 @@ from pyspark.sql import functions as F
 
 from .common import only, slices
 
-WORD = re.compile(r"\w+")
-SCHEMA = "doc_id long, item_id long, start long, end long, distance int, similarity double"
+# Thai to Lao, Burmese, Khmer, kana, and Chinese characters.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+WORD = re.compile(rf"[^\W{UNSPACED}]+|(?=[{UNSPACED}])\w")
+FOUND = "doc_id long, key string, start long, end long, distance int, similarity double"
 
 
 @dataclass(frozen=True)
 class Settings:
     rate: float = 0.2
-    least: int = 5
     block_chars: int = 16_000_000
 
 
+def folded(text: str) -> str:
+    """The words, lower-cased, each with a space on either side."""
+    return " " + " ".join(WORD.findall(text)).lower() + " "
+
+
 def masks(item: list[str]) -> dict[str, int]:
     found: dict[str, int] = {}
     for i, w in enumerate(item):
@@ -72,13 +82,13 @@ def myers(peq: dict[str, int], m: int, text: list[str], anchored: bool = False)
 class Matcher:
     """All items of a block: pieces in one automaton, masks for verification."""
 
-    def __init__(self, items: list[tuple[int | None, str]], s: Settings):
+    def __init__(self, items: list[tuple[str, str]], s: Settings):
         self.items: list[tuple] = []
         self.automaton = ahocorasick.Automaton()
         pieces: dict[str, set[int]] = {}
         for item_id, text in items:
-            words = WORD.findall(text.lower())
-            if len(words) < s.least:
+            words = folded(text).split()
+            if not words:
                 continue
             e = int(s.rate * len(words))
             bounds = [round(k * len(words) / (e + 1)) for k in range(e + 2)]
@@ -91,11 +101,10 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[tuple]:
-        """(item id, start, end, distance, words of the item) of each passage; code points of text, end exclusive."""
+        """(key of the item, start, end, distance, words of the item) of each passage; code points, end exclusive."""
         if not text or not self.items:
             return []
-        words = WORD.findall(text)
-        joined = " " + " ".join(words).lower() + " "
+        joined = folded(text)
         windows: dict[int, list[int]] = {}
         before, at = 1, 0
         for end, where in self.automaton.iter(joined):
@@ -134,7 +143,8 @@ class Matcher:
                     if ahead[size - 1] <= e:
                         found.append((item_id, spans[a + best + 1 - size][0], spans[a + best][1], ahead[size - 1], m))
                         free = best + 1
-                    j = max(j, best + 1)
+                    # What ends next to the best one is looked at again, in the words after it alone.
+                    j = best + 1
         return found
 
 
@@ -151,14 +161,18 @@ def matcher(items: Broadcast, s: Settings) -> Matcher:
     return _built[name]
 
 
+def keyed(benchmark: DataFrame) -> DataFrame:
+    return only(benchmark, "item_id", "text").filter(F.col("text").isNotNull()).withColumn("key", F.md5("text"))
+
+
 def blocks(benchmark: DataFrame, s: Settings) -> Iterator[Broadcast]:
-    """The items in broadcasts of bounded size, each with a name of its own."""
-    items = only(benchmark, "item_id", "text").filter(F.col("text").isNotNull())
+    """The distinct items in broadcasts of bounded size, each with a name of its own."""
+    items = keyed(benchmark).select("key", "text").dropDuplicates(["key"])
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = int(chars // (s.block_chars // 2)) + 1
     for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))))
+        rows = items.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == k).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted((r.key, r.text) for r in rows)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -172,13 +186,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
                 rows = [(doc_id, *r) for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for r in m.find(text)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.int32()), pa.array([1 - d / n for d, n in zip(cols[4], cols[5], strict=True)], pa.float64())],
-                    names=["doc_id", "item_id", "start", "end", "distance", "similarity"],
+                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), pa.array([1 - d / n for d, n in zip(cols[4], cols[5], strict=True)], pa.float64())],
+                    names=["doc_id", "key", "start", "end", "distance", "similarity"],
                 )
 
-        found = only(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+        found = only(docs, "doc_id", "text").mapInArrow(run, FOUND)
         out = found if out is None else out.unionByName(found)
-    return out
+    ids = keyed(benchmark).select("item_id", F.col("key").alias("_key"))
+    return out.join(ids, F.col("key") == F.col("_key")).select("doc_id", "item_id", "start", "end", "distance", "similarity")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
