@@ -2,27 +2,36 @@
 
 A page is a stream of block tags and text runs (inline tags are part of the text). From a bounded sample of a host's
 pages one wrapper is inferred: repeats inside a stream fold into repeated groups, then streams are aligned one after
-the other; text against text becomes a slot, what only some pages have an optional group. Each slot is main text or
-boilerplate by the vote of the pages it was aligned from, where a page votes by the elements that enclose the text.
-A page that its host's wrapper matches gets its text from the wrapper's main slots; one that it doesn't match, or whose
-host has none, from its own elements by the same rules. Every text is whole: nothing is cut by length.
+the other; text against text becomes a slot, what only some pages have an optional group. A text that a slot has on three
+pages and on half of the sample is template and no main text, whatever elements enclose it; headings alone are spared, and
+a wrapper whose template texts would be over half of the sample's main text has none (a host of copies of one article).
+Otherwise a slot is main text or boilerplate by the vote of the pages it was aligned from, where a page votes by the
+elements that enclose the text. A page that its host's wrapper matches gets its text from the wrapper's main slots; one
+that it doesn't match, or whose host has none, from its own elements by the same rules. Every text is whole, and no page
+is too long to take part: nothing is cut by length.
 
 Main text is what lies in article elements (else main, else the body), without menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments, as told by element names and class, id and role words.
+notices, adverts, forms, scripts, styles and comments, as told by element names and class, id and role words. Such a word
+is one of a class name's words ("site-footer"), not one of a name that only says what a page has ("has-sidebar",
+"comments-open"); an article or main element that is the first of its page is no boilerplate by the words around it.
 
-Defined results: null or empty html gives an empty text; rows keep their number, order aside; a null URL has host ''.
+Defined results: null or empty html gives an empty text; rows keep their number, order aside, repeated ones too; a null
+URL has host ''; of votes that tie the page's own elements decide; other columns than page_id, url and html are not read;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,22 +51,41 @@ BLOCKS = frozenset(
 )
 LOOSE = frozenset("p li dt dd tr td th option".split())
 BOILER_TAGS = frozenset("nav footer aside form dialog menu button select option search head".split())
-#: Words of class, id and role that mark boilerplate, and beginnings of such words; header counts outside an article alone.
+#: Words of class, id and role that mark boilerplate; header counts outside an article alone.
 BOILER_WORDS = frozenset(
-    """nav menu menus aside ad ads adv gdpr alert alerts modal share sharing social related reply replies discussion pager widget widgets
-    search login form complementary contentinfo dialog skip copyright respond legal toc""".split()
-)
-BOILER_STEMS = tuple(
-    """comment advert footer sidebar cookie consent promo sponsor newsletter subscri breadcrumb paginat navbar navig popup overlay
-    recommend disqus signup banner notice""".split()
+    """nav navs navbar navigation menu menus aside ad ads adv advert adverts advertisement advertising gdpr alert alerts modal popup
+    overlay share sharing social related recommended recommendations reply replies discussion comment comments disqus pager
+    pagination widget widgets search login signup form complementary contentinfo dialog skip copyright respond footer footers
+    sidebar sidebars cookie cookies consent promo promos promotion sponsor sponsored sponsors newsletter subscribe subscription
+    breadcrumb breadcrumbs banner notice notices""".split()
 )
 HEADER_WORDS = frozenset("header masthead topbar toolbar".split())
+#: First and last words of names that say what a page has, not what an element is.
+HAS = frozenset("has no with without is not js".split())
+STATE = frozenset("open closed enabled disabled on off active visible hidden left right".split())
+HEADING = re.compile(r"<h[1-6]\b")
+
+
+def words_of(names: str) -> set[str]:
+    """The words of class names, without those of names that are about the page."""
+    out: set[str] = set()
+    for name in names.lower().split():
+        parts = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        if len(parts) > 1 and (parts[0] in HAS or (parts[-1] in STATE and parts[0] in ("comments", "comment", "sidebar", "menu", "nav", "ads", "search", "form"))):
+            # "sidebar-left" and the like are sidebars; "comments-open" tells of the page.
+            if parts[0] in HAS or parts[-1] not in ("left", "right"):
+                continue
+        out.update(parts)
+    return out
 
 
 @dataclass(frozen=True)
 class Settings:
+    """pages bounds the sample of each host; cells is how many pairs of nodes one alignment table holds."""
+
     pages: int = 8
-    nodes: int = 300
+    cells: int = 60_000
+    constant: int = 3
     broadcast_bytes: int = 16_000_000
 
 
@@ -68,6 +96,7 @@ def tokens(page: str) -> list[tuple[str, str, bool, str]]:
     stack: list[tuple[str, bool, bool, bool]] = []
     run: list[str] = []
     at, n = 0, len(page)
+    rooted = False
 
     def flush() -> None:
         text = SPACE.sub(" ", entities.unescape("".join(run))).strip()
@@ -117,9 +146,13 @@ def tokens(page: str) -> list[tuple[str, str, bool, str]]:
         hidden = bool(re.search(r"\bhidden\b", attrs, re.I)) and bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true", attrs, re.I))
         for key, value in NAMED.findall(attrs):
             if key.lower() in ("class", "id", "role"):
-                words |= set(re.split(r"[^a-z0-9]+", value.lower()))
+                words |= words_of(value.strip("\"'"))
         boiler, article, main = stack[-1][1:] if stack else (False, False, False)
-        boiler |= name in BOILER_TAGS or hidden or bool(words & BOILER_WORDS) or any(w.startswith(BOILER_STEMS) for w in words)
+        root = name in ("article", "main") or (name == "div" and re.search(r"role\s*=\s*[\"']?main", attrs, re.I))
+        if root and boiler and not rooted and not any(x[0] in BOILER_TAGS for x in stack):
+            boiler = False
+        boiler |= name in BOILER_TAGS or hidden or bool(words & BOILER_WORDS)
+        rooted |= bool(root) and not boiler
         if name == "header" or words & HEADER_WORDS:
             boiler |= not (article or main)
         if name == "article":
@@ -144,7 +177,8 @@ def tokens(page: str) -> list[tuple[str, str, bool, str]]:
     return [(s, t, ok and (where == root or (root == "main" and where == "article")), where) for s, t, ok, where in out]
 
 
-# A wrapper is a list of nodes: ("t", symbol), ("#", main votes, all votes), ("+", nodes), ("?", nodes).
+# A wrapper is a list of nodes: ("t", symbol), ("+", nodes), ("?", nodes) and ("#", main votes, all votes, texts, heading):
+# texts has for the hash of each text that was met in the slot the pages that had it, as bits.
 
 
 def shape(node: tuple) -> str:
@@ -154,7 +188,10 @@ def shape(node: tuple) -> str:
 def merge(a: tuple, b: tuple) -> tuple:
     """Two nodes that stand for one: votes add up, groups are merged part by part."""
     if a[0] == "#":
-        return ("#", a[1] + b[1], a[2] + b[2])
+        texts, more = (a[3], b[3]) if len(a[3]) >= len(b[3]) else (b[3], a[3])
+        for mark, where in more.items():
+            texts[mark] = texts.get(mark, 0) | where
+        return ("#", a[1] + b[1], a[2] + b[2], texts, a[4] or b[4])
     if a[0] in "+?":
         return (a[0], align(a[1], b[1]))
     return a
@@ -183,7 +220,10 @@ def fold(nodes: list[tuple], longest: int = 12) -> list[tuple]:
 
 
 def optional(nodes: list[tuple]) -> list[tuple]:
-    return [nodes[0]] if len(nodes) == 1 and nodes[0][0] == "?" else [("?", nodes)] if nodes else []
+    if not nodes or (len(nodes) == 1 and nodes[0][0] == "?"):
+        return list(nodes)
+    # An optional part of an optional group is as well a part that is met or not by itself.
+    return [("?", nodes)]
 
 
 def same(a: tuple, b: tuple) -> bool:
@@ -197,10 +237,58 @@ def once(group: list[tuple], nodes: list[tuple], j: int) -> bool:
     return nodes[j : j + len(group)] != [] and [shape(x) for x in nodes[j : j + len(group)]] == [shape(x) for x in group]
 
 
-def align(a: list[tuple], b: list[tuple]) -> list[tuple]:
-    """The regular expression of both: the alignment with the fewest unmatched nodes; those become optional groups."""
-    if [shape(x) for x in a] == [shape(x) for x in b]:
+def anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Positions of shapes that stand once in either list, in the longest run that is in order in both."""
+    ca, cb = Counter(a), Counter(b)
+    at = {x: j for j, x in enumerate(b) if cb[x] == 1}
+    pairs = [(i, at[x]) for i, x in enumerate(a) if ca[x] == 1 and x in at]
+    tops: list[int] = []
+    ends: list[int] = []
+    back: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        p = bisect_left(tops, j)
+        tops[p : p + 1] = [j]
+        ends[p : p + 1] = [k]
+        back.append(ends[p - 1] if p else -1)
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
+def align(a: list[tuple], b: list[tuple], cells: int = Settings.cells) -> list[tuple]:
+    """The regular expression of both: the alignment with the fewest unmatched nodes; those become optional groups.
+
+    Lists too long for one table are cut where a shape is unique in both; a stretch without such a shape that is still
+    too long is optional as a whole, on either side."""
+    sa, sb = [shape(x) for x in a], [shape(x) for x in b]
+    if sa == sb:
         return [merge(x, y) for x, y in zip(a, b, strict=True)]
+    if len(a) * len(b) <= cells:
+        return align_table(a, b)
+    head = 0
+    while head < min(len(a), len(b)) and sa[head] == sb[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and sa[-1 - tail] == sb[-1 - tail]:
+        tail += 1
+    if head or tail:
+        middle = align(a[head : len(a) - tail], b[head : len(b) - tail], cells)
+        ends = [merge(x, y) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
+        return [merge(x, y) for x, y in zip(a[:head], b[:head], strict=True)] + middle + ends
+    cuts = anchors(sa, sb)
+    if not cuts:
+        return optional(a) + optional(b)
+    out: list[tuple] = []
+    i = j = 0
+    for x, y in cuts:
+        out += align(a[i:x], b[j:y], cells) + [merge(a[x], b[y])]
+        i, j = x + 1, y + 1
+    return out + align(a[i:], b[j:], cells)
+
+
+def align_table(a: list[tuple], b: list[tuple]) -> list[tuple]:
     la, lb = len(a), len(b)
     cost = [[0] * (lb + 1) for _ in range(la + 1)]
     move = [[""] * (lb + 1) for _ in range(la + 1)]
@@ -249,17 +337,44 @@ def align(a: list[tuple], b: list[tuple]) -> list[tuple]:
 
 
 def infer(pages: list[str], s: Settings = Settings()) -> list[tuple] | None:
-    """The wrapper of the pages that are not too long to align; None where fewer than two are left."""
-    wrapper, used = None, 0
+    """The wrapper of the pages; None for fewer than two. Pages of the same texts count once.
+
+    Its slots come out as ("#", main votes, all votes, hashes of template texts)."""
+    wrapper, used, seen, main_chars = None, 0, set(), Counter()
     for page in pages:
-        nodes = fold([("#", int(ok), 1) if sym == "#" else ("t", sym) for sym, _, ok, _ in tokens(page)])
-        if len(nodes) > s.nodes:
+        stream = tokens(page)
+        same_texts = hash64("\0".join(t[1] for t in stream))
+        if same_texts in seen:
             continue
-        wrapper = nodes if wrapper is None else align(wrapper, nodes)
+        seen.add(same_texts)
+        nodes, last = [], ""
+        for sym, text, ok, _ in stream:
+            if sym == "#":
+                mark = hash64(text)
+                nodes.append(("#", int(ok), 1, {mark: 1 << used}, bool(HEADING.match(last))))
+                if ok:
+                    main_chars[mark] += len(text)
+            else:
+                nodes.append(("t", sym))
+                last = sym
+        nodes = fold(nodes)
+        wrapper = nodes if wrapper is None else align(wrapper, nodes, s.cells)
         used += 1
-        if len(wrapper) > s.nodes:
-            return None
-    return wrapper if used > 1 else None
+    if used < 2:
+        return None
+    least = max(s.constant, (used + 1) // 2)
+    template = lambda x: () if x[4] else tuple(sorted(m for m, where in x[3].items() if where.bit_count() >= least))
+    lost = sum(main_chars[m] for m in {m for x in slots(wrapper) for m in template(x)})
+    some = 2 * lost <= sum(main_chars.values())
+
+    def plain(nodes: list[tuple]) -> list[tuple]:
+        return [("#", x[1], x[2], template(x) if some else ()) if x[0] == "#" else x if x[0] == "t" else (x[0], plain(x[1])) for x in nodes]
+
+    return plain(wrapper)
+
+
+def hash64(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
 
 
 def slots(nodes: list[tuple]) -> Iterator[tuple]:
@@ -276,18 +391,20 @@ class Wrapper:
 
     def __init__(self, nodes: list[tuple]):
         self.letters: dict[str, str] = {"#": "#"}
-        self.flags: list[bool | None] = []
-        parts: list[tuple[bool | None, str]] = []
+        parts: list[tuple[bool | None | str, str, set[int]]] = []
         for node in nodes:
-            votes = [2 * yes > total for _, yes, total in slots([node])]
-            even = [2 * yes == total or 0 < yes < total for _, yes, total in slots([node])]
-            flag = None if any(even) or len(set(votes)) > 1 else votes[0] if votes else "any"
+            votes = [2 * yes > total for _, yes, total, _ in slots([node])]
+            mixed = any(0 < yes < total for _, yes, total, _ in slots([node]))
+            template = {m for x in slots([node]) for m in x[3]}
+            flag = None if mixed or len(set(votes)) > 1 else votes[0] if votes else "any"
             if parts and (flag == "any" or parts[-1][0] in (flag, "any")):
-                parts[-1] = (parts[-1][0] if flag == "any" else flag, parts[-1][1] + self._regex(node))
+                last, regex, known = parts[-1]
+                parts[-1] = (last if flag == "any" else flag, regex + self._regex(node), known | template)
             else:
-                parts.append((flag, self._regex(node)))
-        self.flags = [None if f == "any" else f for f, _ in parts]
-        self.pattern = re.compile("".join(f"({p})" for _, p in parts)) if len(parts) < 90 else None
+                parts.append((flag, self._regex(node), template))
+        self.flags = [None if f == "any" else f for f, _, _ in parts]
+        self.template = [t for _, _, t in parts]
+        self.pattern = re.compile("".join(f"({p})" for _, p, _ in parts))
 
     def _regex(self, node: tuple) -> str:
         if node[0] == "#":
@@ -298,16 +415,17 @@ class Wrapper:
 
     def main(self, stream: list[tuple[str, str, bool, str]]) -> list[bool] | None:
         """Which tokens are main text; None where the wrapper does not match."""
-        if self.pattern is None:
-            return None
         m = self.pattern.fullmatch("".join(self.letters.get(t[0], "?") for t in stream))
         if not m:
             return None
         out = [t[2] for t in stream]
-        for k, flag in enumerate(self.flags, 1):
-            if flag is not None:
-                for i in range(*m.span(k)):
+        for k, (flag, template) in enumerate(zip(self.flags, self.template, strict=True), 1):
+            lo, hi = m.span(k)
+            for i in range(lo, hi):
+                if flag is not None:
                     out[i] = flag
+                if template and out[i] and stream[i][0] == "#" and not (i and HEADING.match(stream[i - 1][0])) and hash64(stream[i][1]) in template:
+                    out[i] = False
         return out
 
 
