@@ -1,13 +1,16 @@
-"""Command line: search a store, count its lines by step, or keep ingesting push requests into it.
+"""Command line: search a store, count its lines by step, keep ingesting push requests into it, serve it, look after it.
 
     python -m cairnlog search STORE '(a and b){app="web"}' --mint 0 --maxt 1 --count 10
     python -m cairnlog read STORE '{app="web"}' --start 0 --end 60000 --step 1000
     python -m cairnlog ingest REQUESTS STORE CHECKPOINT
+    python -m cairnlog serve STORE SPOOL --port 9400
+    python -m cairnlog compact STORE
 """
 
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import SparkSession
 
@@ -15,7 +18,8 @@ from .config import UI_COUNTS
 from .engine import Engine
 from .operators.search import as_json, ordered
 from .plans.temql import parse
-from .streaming.ingest import read_requests, start_ingest
+from .server import PORT, serve
+from .streaming.ingest import read_compressed, read_requests, start_ingest
 
 
 def arguments(args: list[str] | None = None) -> argparse.Namespace:
@@ -38,6 +42,11 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     ingest = todo.add_parser("ingest")
     for name in ("requests", "store", "checkpoint"):
         ingest.add_argument(name)
+    serving = todo.add_parser("serve")
+    serving.add_argument("store")
+    serving.add_argument("spool")
+    serving.add_argument("--port", type=int, default=PORT)
+    todo.add_parser("compact").add_argument("store")
     return parser.parse_args(args)
 
 
@@ -48,6 +57,14 @@ def main(args: list[str] | None = None) -> None:
         start_ingest(read_requests(spark, a.requests), a.store, a.checkpoint).awaitTermination()
         return
     engine = Engine(spark, store=a.store)
+    if a.todo == "compact":
+        print(*[m.block_id for m in engine.compact()], *engine.retain(), sep="\n")
+        return
+    if a.todo == "serve":
+        server = serve(engine, a.spool, a.port)
+        start_ingest(read_compressed(spark, f"file://{os.path.abspath(a.spool)}"), a.store, f"{a.store}/checkpoint", f"{a.store}/dead_letters")
+        server.serve_forever()
+        return
     if a.todo == "search":
         found = engine.search(a.query, a.mint, a.maxt, a.count, semantics=a.semantics, direction=a.direction)
         rows = as_json(found).orderBy("series_key").select("json") if a.json else ordered(found, a.direction)

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import EngineConfig
+from .engine import Engine
 from .functions import labels, scalars
 from .functions.tokenizers import tokenize
 from .operators import blocks, index, metrics, search
 from .plans.predicate import labels_match
 from .plans.temql import Matcher, parse
-from .sources import push, tables
+from .sources import push, remote, tables
 from .storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +23,8 @@ _oracles: dict[str, str] = {}
 
 #: A range of the events' time: 2024-01-05 to 2024-01-20, and a step of a day.
 LO, HI, DAY = 1704412800000, 1705708800000, 86_400_000
+#: A time before which some series have no line yet.
+EARLY = LO - 4 * DAY + 6 * 3_600_000
 
 EV = """ev AS (SELECT event_id AS log_id, '{event_type="' || event_type || '",user_id="' || user_id || '"}' AS series_key, event_type,
   CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS ts_ms, event_type || ' user' || user_id || ' ' || props AS line FROM events)"""
@@ -177,8 +181,6 @@ def _(spark, d):
 
 @query("step_count_matchers", _STEP.replace("WHERE ts_ms", "WHERE event_type = 'click' AND ts_ms"))
 def _(spark, d):
-    from .engine import Engine
-
     return Engine(spark, logs=tables.events(spark, d)).read([Matcher("event_type", "=", "click")], LO, HI, DAY)
 
 
@@ -193,9 +195,9 @@ def _(spark, d):
     return tables.documents(spark, d).select("log_id", F.size(terms).cast("bigint").alias("n_tokens"), F.array_join(terms, " ").alias("tokens"))
 
 
-@query("term_positions", f"WITH {TOK} SELECT term, log_id, pos FROM tok WHERE term IN ('the', 'token', 'idiot')")
+@query("term_positions", f"WITH {TOK} SELECT term, log_id, pos FROM tok")
 def _(spark, d):
-    return index.terms(tables.documents(spark, d)).filter(F.col("term").isin("the", "token", "idiot")).select("term", "log_id", F.col("pos").cast("bigint").alias("pos"))
+    return index.terms(tables.documents(spark, d)).select("term", "log_id", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("term_freq", f"WITH {TOK} SELECT term, log_id, count(*) AS freq FROM tok GROUP BY 1, 2")
@@ -213,18 +215,18 @@ def _(spark, d):
     return index.index_summary(tables.documents(spark, d))
 
 
-@query("postings", f"""WITH {TOK}, l AS (SELECT term, series_key, log_id, count(*) AS freq, array_to_string(list(pos ORDER BY pos), ' ') AS p FROM tok WHERE term IN ('idiot', 'token', 'with') GROUP BY 1, 2, 3)
-  SELECT term, series_key, count(*) AS doc_freq, array_to_string(list(log_id || ':' || freq || ':' || p ORDER BY log_id), ',') AS entries FROM l GROUP BY 1, 2""")
+@query("postings", f"""WITH {TOK}, l AS (SELECT term, series_key, log_id, ts_ms // 86400000 AS chunk, count(*) AS freq, array_to_string(list(pos ORDER BY pos), ' ') AS p FROM tok GROUP BY 1, 2, 3, 4)
+  SELECT term, series_key, chunk, count(*) AS doc_freq, array_to_string(list(log_id || ':' || freq || ':' || p ORDER BY log_id), ',') AS entries FROM l GROUP BY 1, 2, 3""")
 def _(spark, d):
-    flat = index.terms(tables.documents(spark, d)).filter(F.col("term").isin("idiot", "token", "with"))
+    flat = index.terms(tables.documents(spark, d))
     entry = lambda e: F.concat_ws(":", e["log_id"].cast("string"), e["freq"].cast("string"), F.array_join(e["positions"].cast("array<string>"), " "))
-    return index.postings(flat).select("term", "series_key", "doc_freq", F.array_join(F.transform("entries", entry), ",").alias("entries"))
+    return index.postings(flat).select("term", "series_key", "chunk", "doc_freq", F.array_join(F.transform("entries", entry), ",").alias("entries"))
 
 
-@query("posting_deltas", f"""WITH {TOK}, l AS (SELECT DISTINCT term, series_key, ts_ms, log_id FROM tok WHERE term IN ('idiot', 'token'))
-  SELECT term, series_key, log_id, log_id - lag(log_id) OVER w AS id_gap, ts_ms - lag(ts_ms) OVER w AS ts_gap FROM l WINDOW w AS (PARTITION BY term, series_key ORDER BY log_id)""")
+@query("posting_deltas", f"""WITH {TOK}, l AS (SELECT DISTINCT term, series_key, ts_ms, log_id, ts_ms // 86400000 AS chunk FROM tok)
+  SELECT term, series_key, chunk, log_id, log_id - lag(log_id) OVER w AS id_gap, ts_ms - lag(ts_ms) OVER w AS ts_gap FROM l WINDOW w AS (PARTITION BY term, series_key, chunk ORDER BY log_id)""")
 def _(spark, d):
-    return index.posting_deltas(index.terms(tables.documents(spark, d)), ["idiot", "token"])
+    return index.posting_deltas(tables.documents(spark, d))
 
 
 @query("term_series", f"WITH {TOK} SELECT term, count(DISTINCT series_key) AS n_series, min(series_key) AS first_key, max(series_key) AS last_key FROM tok GROUP BY 1")
@@ -253,10 +255,10 @@ def _(spark, d):
     return index.series_catalog(tables.events(spark, d))
 
 
-@query("new_series", f"WITH {EV} SELECT DISTINCT series_key FROM ev WHERE ts_ms > {HI} AND series_key NOT IN (SELECT series_key FROM ev WHERE ts_ms <= {HI})")
+@query("new_series", f"WITH {EV} SELECT DISTINCT series_key FROM ev WHERE ts_ms > {EARLY} AND series_key NOT IN (SELECT series_key FROM ev WHERE ts_ms <= {EARLY})")
 def _(spark, d):
     logs = tables.events(spark, d)
-    return index.new_series(logs.filter(F.col("ts_ms") > HI), index.series_catalog(logs.filter(F.col("ts_ms") <= HI))).select("series_key")
+    return index.new_series(logs.filter(F.col("ts_ms") > EARLY), index.series_catalog(logs.filter(F.col("ts_ms") <= EARLY))).select("series_key")
 
 
 @query("posting_union", f"WITH {DOC} SELECT log_id FROM doc WHERE {has('idiot')} UNION SELECT log_id FROM doc WHERE {has('moron')}")
@@ -274,11 +276,11 @@ def _(spark, d):
     return index.all_of(index.terms(tables.documents(spark, d)), ["the", "are", "with"])
 
 
-@query("postings_with_labels", f"""WITH {TOK} SELECT t.term, s.lang, s.source, t.doc_freq FROM (SELECT term, series_key, count(DISTINCT log_id) AS doc_freq FROM tok WHERE term IN ('token', 'MIT') GROUP BY 1, 2) t
+@query("postings_with_labels", f"""WITH {TOK} SELECT t.term, s.lang, s.source, t.doc_freq FROM (SELECT term, series_key, count(DISTINCT log_id) AS doc_freq FROM tok GROUP BY 1, 2) t
   JOIN (SELECT DISTINCT series_key, lang, source FROM doc) s USING (series_key)""")
 def _(spark, d):
     logs = tables.documents(spark, d)
-    stats = index.posting_stats(logs).filter(F.col("term").isin("token", "MIT"))
+    stats = index.posting_stats(logs)
     series = logs.select("series_key", "labels").dropDuplicates(["series_key"])
     return stats.join(series, "series_key").select("term", F.col("labels")["lang"].alias("lang"), F.col("labels")["source"].alias("source"), "doc_freq")
 
@@ -326,12 +328,103 @@ def _(spark, d):
     return blocks.retained(tables.events(spark, d)).select("log_id", "ts_ms")
 
 
-@query("compact_preserves_rows", f"WITH {EV} SELECT ts_ms - ts_ms % {10 * DAY} AS block_start, count(*) AS total, CAST(sum(log_id) AS BIGINT) AS id_sum FROM ev GROUP BY 1")
+def _pushed(logs: DataFrame) -> DataFrame:
+    """Push requests as they arrive: a stream for each series and hour, its label text and its entries."""
+    entry = F.struct(F.timestamp_millis("ts_ms").alias("ts"), "line")
+    streams = logs.groupBy("series_key", (F.col("ts_ms") - F.pmod("ts_ms", F.lit(3_600_000))).alias("hour")).agg(F.collect_list(entry).alias("entries"))
+    return streams.select(F.array(F.struct(F.col("series_key").alias("labels"), "entries")).alias("streams"))
+
+
+def _event_store(spark: SparkSession, d: str, compacted: bool) -> Engine:
+    """Events pushed in three parts into a store of their own; the first two are of one window of twenty days, which the
+    third one has passed."""
+    engine = Engine(spark, store=shared_path(spark, "store"), config=EngineConfig(ranges_ms=(20_000, 20 * DAY, 40 * DAY), promoted=("event_type",)))
+    logs = tables.events(spark, d)
+    for lo, hi in ((LO - 400 * DAY, LO + 2 * DAY), (LO + 2 * DAY + 1, LO + 12 * DAY), (LO + 12 * DAY + 1, LO + 400 * DAY)):
+        engine.index(_pushed(search.in_range(logs, lo, hi)))
+    if compacted:
+        engine.compact()
+    return engine
+
+
+@query("compact_preserves_rows", f"WITH {EV} SELECT series_key, count(*) AS total, CAST(sum(ts_ms) AS BIGINT) AS ts_sum, count(DISTINCT line) AS texts FROM ev GROUP BY 1")
+def _(spark, d):
+    logs = _event_store(spark, d, True).logs()
+    return logs.groupBy("series_key").agg(F.count("*").alias("total"), F.sum("ts_ms").alias("ts_sum"), F.count_distinct("line").alias("texts"))
+
+
+@query("store_search", f"""WITH {EV} SELECT series_key, ts_ms, line, count(*) OVER (PARTITION BY series_key) AS total_count FROM ev
+  WHERE event_type = 'error' AND {has('user8')} AND ts_ms BETWEEN {LO + 25_000} AND {HI}""")
 def _(spark, d):
-    small, large = shared_path(spark, "blocks"), shared_path(spark, "compacted")
-    blocks.write(tables.events(spark, d), small, partition_ms=DAY)
-    blocks.compact(spark, small, large, 10 * DAY)
-    return spark.read.parquet(large).groupBy(F.col("block_start").cast("bigint").alias("block_start")).agg(F.count("*").alias("total"), F.sum("log_id").alias("id_sum"))
+    return _event_store(spark, d, True).search('user8{event_type="error"}', LO + 25_000, HI).drop("log_id")
+
+
+@query("store_ids_unique", "SELECT count(*) AS n, count(*) AS n_ids, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id FROM events")
+def _(spark, d):
+    return _event_store(spark, d, False).logs().agg(F.count("*").alias("n"), F.count_distinct("log_id").alias("n_ids"), F.min("log_id").alias("first_id"), F.max("log_id").alias("last_id"))
+
+
+@query("compaction_lifecycle", f"""WITH {EV} SELECT CAST(2 AS BIGINT) AS n_blocks, CAST(CASE WHEN old THEN 2 ELSE 1 END AS INTEGER) AS level, CAST(CASE WHEN old THEN 2 ELSE 0 END AS INTEGER) AS n_parents,
+  count(*) AS total, min(ts_ms) AS min_ts, max(ts_ms) AS max_ts, count(DISTINCT series_key) AS n_series FROM (SELECT *, ts_ms <= {LO + 12 * DAY} AS old FROM ev) GROUP BY old""")
+def _(spark, d):
+    held = _event_store(spark, d, True).store.metas()
+    rows = [(len(held), m.level, len(m.parents), m.total, m.min_ts, m.max_ts, m.n_series) for m in held]
+    return spark.createDataFrame(rows, "n_blocks bigint, level int, n_parents int, total bigint, min_ts bigint, max_ts bigint, n_series bigint")
+
+
+@query("store_delete_series", f"WITH {EV} SELECT series_key, count(*) AS total FROM ev WHERE event_type <> 'view' GROUP BY 1")
+def _(spark, d):
+    engine = _event_store(spark, d, False)
+    engine.delete_series('{event_type="view"}')
+    return engine.logs().groupBy("series_key").agg(F.count("*").alias("total"))
+
+
+@query("store_series", f"WITH {EV} SELECT series_key, count(*) AS n_logs, min(ts_ms) AS min_ts, max(ts_ms) AS max_ts FROM ev WHERE event_type = 'click' GROUP BY 1")
+def _(spark, d):
+    return _event_store(spark, d, False).series([Matcher("event_type", "=", "click")]).drop("labels")
+
+
+@query("indexed_search", f"""WITH {DOC} SELECT series_key, ts_ms, line, count(*) OVER (PARTITION BY series_key) AS total_count FROM doc
+  WHERE ({has('idiot')} OR {has('the')} AND {has('with')}) AND source <> 'src3'""")
+def _(spark, d):
+    engine = Engine(spark, store=shared_path(spark, "store"))
+    logs = tables.documents(spark, d)
+    for k in range(3):
+        engine.store.append(logs.filter(F.pmod("log_id", F.lit(3)) == k).drop("log_id"))
+    return engine.search('(idiot or the and with){source!="src3"}').drop("log_id")
+
+
+@query("remote_read", _STEP.replace("WHERE ts_ms", "WHERE event_type IN ('click', 'view') AND ts_ms"))
+def _(spark, d):
+    request = remote.encode_read([remote.ReadQuery(LO, HI, (Matcher("event_type", "=~", "click|view"),), DAY)])
+    (result,) = remote.decode_response(Engine(spark, logs=tables.events(spark, d)).remote_read(request))
+    rows = [(labels_, ms, value) for labels_, samples in result for ms, value in samples]
+    return spark.createDataFrame(rows, "labels map<string,string>, bucket_end_ms bigint, value double").select(labels.canonical(F.col("labels")).alias("series_key"), "bucket_end_ms", "value")
+
+
+@query("labels_escapes", r"""SELECT n_nationkey, '{app="aA' || chr(233) || chr(128512) || '\n",nation="' || n_name || '",q="it''s \"' || n_nationkey || '\""}' AS series_key FROM nation""")
+def _(spark, d):
+    text = F.format_string(r"""{ app='a\x41é\U0001F600\n', q="it's \"%d\"", nation=`%s`, }""", "n_nationkey", "n_name")
+    return tables.read(spark, d, "nation").select("n_nationkey", labels.canonical(labels.parse(text)).alias("series_key"))
+
+
+@query("dead_letters", """SELECT CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE '{app=' || n_name END AS stream_labels,
+  CASE WHEN n_nationkey % 3 = 0 THEN '{"streams": [' || n_name END AS raw FROM nation WHERE n_nationkey % 3 < 2""")
+def _(spark, d):
+    label = F.concat(F.lit("{app="), F.when(F.col("n_nationkey") % 3 == 1, F.col("n_name")).otherwise('"x"}'))
+    good = F.to_json(F.struct(F.array(F.struct(label.alias("labels"), F.array(F.struct(F.lit("2024-01-01T00:00:00Z").alias("ts"), F.col("n_name").alias("line"))).alias("entries"))).alias("streams")))
+    text = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit('{"streams": ['), "n_name")).otherwise(good)
+    return push.to_logs(push.flatten(push.decode_json(tables.read(spark, d, "nation").select(text.alias("value")))))[1].select("stream_labels", "raw")
+
+
+@query("compaction_groups_overlap", """WITH b AS (SELECT CAST(n_nationkey AS BIGINT) AS block_id, CAST(n_nationkey * 7 AS BIGINT) AS lo, CAST(n_nationkey * 7 + (n_nationkey % 5) * 9 AS BIGINT) AS hi FROM nation),
+  w AS (SELECT block_id, CASE WHEN hi > (lo // 30 + 1) * 30 THEN 'b' || block_id ELSE 'w' || (lo // 30) END AS g FROM b)
+  SELECT block_id, count(*) OVER (PARTITION BY g) AS size, min(block_id) OVER (PARTITION BY g) AS first_id FROM w""")
+def _(spark, d):
+    rows = tables.read(spark, d, "nation").collect()  # 25 rows of the planner's input
+    held = [blocks.Block(r.n_nationkey, r.n_nationkey * 7, r.n_nationkey * 7 + r.n_nationkey % 5 * 9) for r in rows]
+    out = [(b.block_id, len(g), min(x.block_id for x in g)) for g in blocks.compaction_groups(held, 30) for b in g]
+    return spark.createDataFrame(out, "block_id bigint, size bigint, first_id bigint")
 
 
 @query("term_and_series_block", f"""WITH {EV}, b AS (SELECT *, ts_ms - ts_ms % {DAY} AS block_start FROM ev), g AS (SELECT series_key, block_start FROM b GROUP BY 1, 2 HAVING bool_or({has('click')}) AND bool_or({has('k')}))
@@ -357,11 +450,7 @@ def _(spark, d):
 @query("flatten_streams", f"WITH {EV} SELECT series_key, ts_ms, line FROM ev")
 def _(spark, d):
     logs = tables.events(spark, d)
-    # Requests as they arrive: a stream for each series and hour, its label text and its entries.
-    entry = F.struct(F.timestamp_millis("ts_ms").alias("ts"), "line")
-    streams = logs.groupBy("series_key", (F.col("ts_ms") - F.pmod("ts_ms", F.lit(3_600_000))).alias("hour")).agg(F.collect_list(entry).alias("entries"))
-    requests = streams.select(F.array(F.struct(F.col("series_key").alias("labels"), "entries")).alias("streams"))
-    return push.to_logs(push.flatten(requests))[0].select("series_key", "ts_ms", "line")
+    return push.to_logs(push.flatten(_pushed(logs)))[0].select("series_key", "ts_ms", "line")
 
 
 @query("decode_push_json", "SELECT '{app=\"db\",host=\"' || n_name || '\"}' AS series_key, 1704067200000 + CAST(n_nationkey AS BIGINT) AS ts_ms, 'hello ' || n_name AS line FROM nation")

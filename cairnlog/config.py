@@ -16,8 +16,12 @@ def exponential_ranges(base_ms: int = 20_000, steps: int = 10, factor: int = 3)
 
 @dataclass(frozen=True)
 class EngineConfig:
+    """block_ms: span of a head, and the trigger of continuous ingest; flush_bytes: input that a block is cut at at the
+    latest; promoted: labels that the store keeps as columns of their own, so that their filters reach the scan."""
+
     block_ms: int = 20_000
+    flush_bytes: int = 1 << 30
+    promoted: tuple[str, ...] = ()
     retention_ms: int = 12 * 3_600_000
     ranges_ms: tuple[int, ...] = field(default_factory=exponential_ranges)
-    idle_flush_ms: int = 60_000
     max_records_per_file: int = 5_000_000

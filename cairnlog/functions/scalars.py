@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def str2int64(text: Column) -> Column:
 
 def parse_time(text: Column) -> Column:
     """Milliseconds from seconds with a fraction, or from RFC 3339 text; null for anything else."""
-    seconds = F.when(F.regexp_like(text, F.lit(r"^[+-]?[0-9]+(\.[0-9]*)?$")), F.round(text.try_cast("double") * 1000).cast("bigint"))
+    seconds = F.when(F.regexp_like(text, F.lit(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$")), F.round(text.try_cast("double") * 1000).cast("bigint"))
     dated = F.when(F.regexp_like(text, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T")), F.unix_millis(text.try_cast("timestamp")))
     return F.coalesce(seconds, dated)
 
@@ -37,10 +39,12 @@ def format_time(ms: Column) -> Column:
 
 
 def highlight(line: Column, terms: list[str], before: str = "<em>", after: str = "</em>") -> Column:
-    """Every whole-word term in marks."""
+    """Every whole-word term in marks. Terms and marks are taken as they are, no character of theirs means more."""
     if not terms:
         return line
-    return F.regexp_replace(line, rf"(?<![A-Za-z0-9_])({'|'.join(sorted(terms))})(?![A-Za-z0-9_])", f"{before}$1{after}")
+    wanted = "|".join(re.sub(r"([^A-Za-z0-9_])", r"\\\1", t) for t in sorted(terms, key=lambda t: (-len(t), t)))
+    mark = lambda text: re.sub(r"([\\$])", r"\\\1", text)
+    return F.regexp_replace(line, rf"(?<![A-Za-z0-9_])({wanted})(?![A-Za-z0-9_])", f"{mark(before)}$1{mark(after)}")
 
 
 def expr_link(expr: Column, tab: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -58,7 +58,7 @@ def retained(logs: DataFrame, retention_ms: int = EngineConfig.retention_ms) ->
 
 @dataclass(frozen=True)
 class Block:
-    block_id: int
+    block_id: int | str
     min_ts: int
     max_ts: int
     level: int = 1
@@ -67,63 +67,44 @@ class Block:
 def compaction_groups(blocks: list[Block], range_ms: int, aligned: bool = True) -> list[list[Block]]:
     """Blocks that one window of range_ms takes together.
 
-    Aligned windows start at the first block and each next one where the last ended, and a block that would overflow
-    its window opens the next; otherwise (compatible form) an overflowing block closes its group and opens the next."""
-    rest = sorted(blocks, key=lambda b: b.min_ts)
+    Aligned: windows start at the multiples of range_ms, and a window's group are the blocks that lie in it, both ends
+    included; a block that reaches over an end, or is longer, is a group of its own. Every block is in one group.
+    Otherwise (compatible form): a window starts at its first block, a block that is not shorter than the range is passed
+    over, and the block that does not fit any more closes one group and opens the next, so that it is in both."""
+    rest = sorted(blocks, key=lambda b: (b.min_ts, b.max_ts, str(b.block_id)))
     groups: list[list[Block]] = []
-    while rest:
-        start = rest[0].min_ts
-        if aligned:
-            start -= start % range_ms
-            group = [b for b in rest if b.max_ts <= start + range_ms] or rest[:1]
-            taken = len(group)
-        else:
-            taken = next((k for k, b in enumerate(rest) if b.max_ts > start + range_ms), len(rest))
-            group = rest[: taken + 1] if taken < len(rest) else rest
-            taken = max(1, taken)
-        groups.append(group)
-        rest = rest[taken:]
+    if aligned:
+        held: dict[int, list[Block]] = {}
+        for b in rest:
+            window = b.min_ts // range_ms
+            if b.max_ts > (window + 1) * range_ms:
+                groups.append([b])
+            else:
+                held.setdefault(window, []).append(b)
+        return sorted([*groups, *held.values()], key=lambda g: (g[0].min_ts, g[0].max_ts, str(g[0].block_id)))
+    at = 0
+    while at < len(rest):
+        end = rest[at].min_ts + range_ms
+        fits = next((k for k in range(at, len(rest)) if rest[k].max_ts >= end), len(rest))
+        if fits > at:
+            groups.append(rest[at : fits + 1])
+        at = max(fits, at + 1)
     return groups
 
 
-def plan_compaction(blocks: list[Block], ranges_ms: tuple[int, ...]) -> list[Block]:
-    """The first group of two blocks or more that fills its window or that a newer block has passed."""
+def plan_compaction(blocks: list[Block], ranges_ms: tuple[int, ...], aligned: bool = True) -> list[Block]:
+    """The first group of two blocks or more, smallest range first, that fills its window or that a newer block has passed."""
     if not blocks:
         return []
     newest = max(b.min_ts for b in blocks)
     for size in ranges_ms[1:]:
-        for group in compaction_groups([b for b in blocks if b.max_ts - b.min_ts <= size], size):
+        for group in compaction_groups(blocks, size, aligned):
             lo, hi = min(b.min_ts for b in group), max(b.max_ts for b in group)
             if len(group) >= 2 and (hi - lo >= size or hi <= newest):
                 return group
     return []
 
 
-def write(logs: DataFrame, path: str, config: EngineConfig = EngineConfig(), partition_ms: int | None = None, mode: str = "append") -> None:
-    """Blocks as partitions, sorted within files by series and time so that statistics prune both ways.
-
-    Rows of one block are spread by a hash of their series and id, so a hot block or series takes several files."""
-    size = partition_ms or config.block_ms
-    rows = with_block(logs, size)
-    laid = rows.repartition(F.col("block_start"), F.pmod(F.xxhash64("series_key", "log_id"), F.lit(8))).sortWithinPartitions("block_start", "series_key", "ts_ms")
-    laid.write.mode(mode).option("maxRecordsPerFile", config.max_records_per_file).partitionBy("block_start").parquet(path)
-
-
-def read(spark: SparkSession, path: str, mint: int | None = None, maxt: int | None = None, block_ms: int = EngineConfig.block_ms) -> DataFrame:
-    """Only the partitions that a range can touch are listed for the scan."""
-    logs = spark.read.parquet(path)
-    if mint is not None:
-        logs = logs.filter((F.col("block_start") >= mint - mint % block_ms) & (F.col("ts_ms") >= mint))
-    if maxt is not None:
-        logs = logs.filter((F.col("block_start") <= maxt) & (F.col("ts_ms") <= maxt))
-    return logs
-
-
-def compact(spark: SparkSession, path: str, out: str, group_ms: int) -> None:
-    """Rewrite a store with larger blocks; every line stays, ids included."""
-    write(spark.read.parquet(path).drop("block_start"), out, partition_ms=group_ms, mode="overwrite")
-
-
 def delete_series(logs: DataFrame, series_keys: list[str]) -> DataFrame:
-    """What is left without the series; the caller writes it back."""
+    """What is left without the series."""
     return logs.filter(~F.col("series_key").isin(series_keys))

@@ -34,11 +34,13 @@ def posting_stats(logs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
     return line_terms(logs, tokenizer).groupBy("term", "series_key").agg(F.count("*").alias("doc_freq"), F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"))
 
 
-def postings(flat: DataFrame) -> DataFrame:
-    """Nested postings by (term, series)."""
+def postings(flat: DataFrame, chunk_ms: int = 86_400_000) -> DataFrame:
+    """Nested postings by (term, series, chunk). A chunk is a stretch of time, so a hot term's list in a hot series takes
+    many rows, and none grows with the store."""
     lines = flat.groupBy("term", "series_key", "ts_ms", "log_id").agg(F.count("*").cast("int").alias("freq"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    lines = lines.withColumn("chunk", F.expr(f"(ts_ms - pmod(ts_ms, {chunk_ms}L)) div {chunk_ms}L"))
     entry = F.struct("ts_ms", "log_id", "freq", "positions")
-    return lines.groupBy("term", "series_key").agg(F.count("*").alias("doc_freq"), F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    return lines.groupBy("term", "series_key", "chunk").agg(F.count("*").alias("doc_freq"), F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"), F.array_sort(F.collect_list(entry)).alias("entries"))
 
 
 def index_summary(logs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
@@ -49,11 +51,12 @@ def index_summary(logs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
     return by_series.groupBy("term").agg(F.count("*").alias("n_series"), F.sum("l").alias("n_lines"), F.sum("t").alias("n_tokens"))
 
 
-def posting_deltas(flat: DataFrame, terms_wanted: list[str]) -> DataFrame:
-    """Gaps of log id and time between successive lines of a term in a series; the first row's are null."""
-    lines = flat.filter(F.col("term").isin(terms_wanted)).select("term", "series_key", "ts_ms", "log_id").distinct()
-    order = Window.partitionBy("term", "series_key").orderBy("log_id")
-    return lines.select("term", "series_key", "log_id", (F.col("log_id") - F.lag("log_id").over(order)).alias("id_gap"), (F.col("ts_ms") - F.lag("ts_ms").over(order)).alias("ts_gap"))
+def posting_deltas(logs: DataFrame, chunk_ms: int = 86_400_000, tokenizer: str = DEFAULT) -> DataFrame:
+    """Gaps of log id and time between successive lines of a term in a series, chunk by chunk (see postings); the first
+    row of a chunk has none."""
+    lines = line_terms(logs, tokenizer).withColumn("chunk", F.expr(f"(ts_ms - pmod(ts_ms, {chunk_ms}L)) div {chunk_ms}L"))
+    order = Window.partitionBy("term", "series_key", "chunk").orderBy("log_id")
+    return lines.select("term", "series_key", "chunk", "log_id", (F.col("log_id") - F.lag("log_id").over(order)).alias("id_gap"), (F.col("ts_ms") - F.lag("ts_ms").over(order)).alias("ts_gap"))
 
 
 def lines_of(logs: DataFrame, term: str, tokenizer: str = DEFAULT) -> DataFrame:
@@ -88,6 +91,11 @@ def series_catalog(logs: DataFrame) -> DataFrame:
     return logs.groupBy("series_key").agg(F.count("*").alias("n_logs"), F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"))
 
 
+def series_with_labels(logs: DataFrame) -> DataFrame:
+    """(series_key, labels, n_logs, min_ts, max_ts)"""
+    return logs.groupBy("series_key").agg(F.first("labels").alias("labels"), F.count("*").alias("n_logs"), F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"))
+
+
 def new_series(logs: DataFrame, known: DataFrame) -> DataFrame:
     """Series of logs that the catalogue does not have yet."""
     return logs.select("series_key", "labels").dropDuplicates(["series_key"]).join(known.select("series_key"), "series_key", "left_anti")

@@ -35,13 +35,13 @@ def select(logs: DataFrame, query: Query | None, mint: int | None = None, maxt:
     return rows.filter(line_matches(query.expr, F.col("line"), tokenizer))
 
 
-def search(logs: DataFrame, source: str, mint: int | None = None, maxt: int | None = None, count: int | None = None, direction: str = "forward", semantics: str = "record", include_empty: bool = False, tokenizer: str = DEFAULT, gate_scope: str = "range", block_ms: int = EngineConfig.block_ms) -> DataFrame:
+def search(logs: DataFrame, source: str, mint: int | None = None, maxt: int | None = None, count: int | None = None, direction: str = "forward", semantics: str = "record", include_empty: bool = False, tokenizer: str = DEFAULT, gate_scope: str = "range", block_ms: int = EngineConfig.block_ms, known: DataFrame | None = None) -> DataFrame:
     """Lines of each series in time order, at most ``count`` a series, with the series' total of all hits.
 
     The total is a pre-aggregated count, the limit a ranked window that Spark also applies before the shuffle; so a
     series with very many hits is never gathered in one task. Series semantics decide over the range as a whole or, with
     gate_scope="block", within each block. With include_empty a series whose labels match but that
-    has no hit gives a row without a line and total 0."""
+    has no hit gives a row without a line and total 0; known: the keys of such series, else taken from all of logs."""
     if direction not in ("forward", "backward"):
         raise ValueError("direction must be forward or backward")
     if gate_scope not in ("range", "block"):
@@ -56,7 +56,8 @@ def search(logs: DataFrame, source: str, mint: int | None = None, maxt: int | No
         hits = hits.withColumn("_place", place).filter(F.col("_place") <= count).drop("_place")
     found = hits.join(totals, "series_key")
     if include_empty and query is not None:
-        known = logs.filter(labels_match(query.matchers, logs.columns)).select("series_key").distinct()
+        if known is None:
+            known = logs.filter(labels_match(query.matchers, logs.columns)).select("series_key").distinct()
         found = known.join(found, "series_key", "left").withColumn("total_count", F.coalesce("total_count", F.lit(0).cast("bigint")))
     return found.select("series_key", "ts_ms", "log_id", "line", "total_count")
 

@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokenizers import DEFAULT, has_term
-from .temql import Both, Expr, Matcher, Term, terms
+from .temql import Both, Expr, Matcher, TemQLSyntaxError, Term, terms
+
+
+def check_expression(text: str) -> None:
+    """A syntax error where the JVM can't read the expression, before any task runs."""
+    sc = SparkContext._active_spark_context
+    if sc is not None:
+        try:
+            sc._jvm.java.util.regex.Pattern.compile(text)
+        except IllegalArgumentException as e:
+            raise TemQLSyntaxError(f"bad regular expression {text!r}: {str(e).splitlines()[0]}", 0) from None
 
 
 def matches(m: Matcher, value: Column) -> Column:
@@ -19,7 +31,8 @@ def matches(m: Matcher, value: Column) -> Column:
         return v == m.value
     if m.op == "!=":
         return v != m.value
-    full = F.regexp_like(v, F.lit(f"^(?:{m.value})$"))
+    check_expression(m.value)
+    full = F.regexp_like(v, F.lit(rf"\A(?:{m.value})\z"))
     if m.op == "=~":
         return full
     if m.op == "!~":

@@ -1,11 +1,13 @@
 """Push requests: streams of (label text, entries) to logs.
 
 JSON requests are decoded by Spark itself; snappy-compressed protobuf by an Arrow-batched decoder, since reading
-protobuf in the JVM needs a package that Spark does not carry. Rows with a label set that does not parse, or is empty,
-go to a dead-letter table instead of failing the batch; a stream without entries gives no row."""
+protobuf in the JVM needs a package that Spark does not carry. What cannot be taken goes to a dead-letter table instead
+of failing the batch: a request that does not parse as it came (raw), an entry whose label set does not parse or is
+empty with its label text, time and line. A stream without entries gives no row."""
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,25 +19,33 @@ from ..functions.labels import canonical, parse
 
 ENTRY = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("line", T.StringType())])
 STREAM = T.StructType([T.StructField("labels", T.StringType()), T.StructField("entries", T.ArrayType(ENTRY))])
-REQUEST = T.StructType([T.StructField("streams", T.ArrayType(STREAM))])
+#: raw: where Spark's JSON reader puts a record that it can't read.
+RAW = "raw"
+REQUEST = T.StructType([T.StructField("streams", T.ArrayType(STREAM)), T.StructField(RAW, T.StringType())])
 
 
 def decode_json(raw: DataFrame, column: str = "value") -> DataFrame:
-    return raw.select(F.from_json(F.col(column), REQUEST).alias("request")).select(F.col("request.streams").alias("streams"))
+    """(streams, raw) from a text column of requests; raw is the text of one that does not parse, else null."""
+    request = F.from_json(F.col(column), REQUEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW})
+    return raw.select(request.alias("request")).select("request.streams", f"request.{RAW}")
 
 
 def flatten(requests: DataFrame) -> DataFrame:
-    """(stream_labels, ts, line): one row per entry of every stream."""
-    streams = requests.select(F.explode("streams").alias("s"))
-    return streams.select(F.col("s.labels").alias("stream_labels"), F.explode("s.entries").alias("e")).select("stream_labels", "e.ts", "e.line")
+    """(stream_labels, ts, line, raw): one row per entry of every stream, and one of raw alone per broken request."""
+    raw = F.col(RAW) if RAW in requests.columns else F.lit(None).cast("string")
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("labels"), F.array(F.lit(None).cast(ENTRY)).alias("entries")))
+    streams = requests.select(raw.alias(RAW), F.explode(F.when(raw.isNotNull(), nothing).otherwise(F.col("streams"))).alias("s"))
+    return streams.select(F.col("s.labels").alias("stream_labels"), F.explode("s.entries").alias("e"), RAW).select("stream_labels", "e.ts", "e.line", RAW)
 
 
 def to_logs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Logs without ids (see operators.blocks.assign_log_ids), and the dead letters."""
+    """Logs without ids (the store gives them), and the dead letters (stream_labels, ts, line, raw)."""
+    if RAW not in entries.columns:
+        entries = entries.withColumn(RAW, F.lit(None).cast("string"))
     parsed = entries.withColumn("labels", parse(F.col("stream_labels")))
     good = F.coalesce(F.size("labels") > 0, F.lit(False)) & F.col("ts").isNotNull()
     logs = parsed.filter(good).select(canonical(F.col("labels")).alias("series_key"), "labels", F.unix_millis("ts").alias("ts_ms"), F.coalesce("line", F.lit("")).alias("line"))
-    return logs, parsed.filter(~good).select("stream_labels", "ts", "line")
+    return logs, parsed.filter(~good).select("stream_labels", "ts", "line", RAW)
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -105,17 +115,18 @@ def decode_request(data: bytes) -> list[tuple[str, int, str]]:
 
 
 def decode_protobuf(raw: DataFrame, column: str = "value") -> DataFrame:
-    """(stream_labels, ts, line) from a binary column of compressed requests; a broken request is one row of nulls."""
+    """(stream_labels, ts, line, raw) from a binary column of compressed requests; a broken one is a row of raw, in base64."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for data in frame[column]:
                 try:
-                    rows += decode_request(bytes(data))
+                    rows += [(*r, None) for r in decode_request(bytes(data))]
                 except Exception:  # a request that cannot be read goes on as a dead letter
-                    rows.append((None, None, None))
-            yield pd.DataFrame(rows, columns=["stream_labels", "ns", "line"]).astype({"ns": "Int64"})
+                    rows.append((None, None, None, base64.b64encode(bytes(data or b"")).decode()))
+            yield pd.DataFrame(rows, columns=["stream_labels", "ns", "line", RAW]).astype({"ns": "Int64"})
 
-    decoded = raw.select(column).mapInPandas(run, "stream_labels string, ns long, line string")
-    return decoded.select("stream_labels", F.timestamp_micros(F.floor(F.col("ns") / 1000)).alias("ts"), "line")
+    decoded = raw.select(column).mapInPandas(run, f"stream_labels string, ns long, line string, {RAW} string")
+    # Whole-number division: nanoseconds of today are beyond what a double holds.
+    return decoded.select("stream_labels", F.timestamp_micros(F.expr("(ns - pmod(ns, 1000)) div 1000")).alias("ts"), "line", RAW)

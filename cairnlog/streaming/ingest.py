@@ -2,35 +2,52 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import EngineConfig
-from ..operators import blocks
 from ..operators.metrics import bucket
 from ..operators.search import select
+from ..operators.store import Store
 from ..plans.temql import parse
-from ..sources.push import REQUEST, flatten, to_logs
+from ..sources.push import RAW, REQUEST, decode_protobuf, flatten, to_logs
+
+
+def read_requests(spark: SparkSession, folder: str, max_files: int | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """JSON push requests, one a line, as files arrive; those that don't parse keep their text in the column raw.
 
+    A micro-batch, and with it a block, takes at most flush_bytes of input (or max_files files)."""
+    reader = spark.readStream.schema(REQUEST).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW)
+    limit = ("maxFilesPerTrigger", max_files) if max_files else ("maxBytesPerTrigger", config.flush_bytes)
+    return reader.option(*limit).json(folder)
 
-def read_requests(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
-    """JSON push requests, one a line, as files arrive."""
-    return spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", max_files).json(folder)
+
+def read_compressed(spark: SparkSession, folder: str, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Snappy-compressed protobuf requests, a file each, as they arrive: entries as flatten() gives them."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("maxBytesPerTrigger", config.flush_bytes).load(folder)
+    return decode_protobuf(files.select("content"), "content")
 
 
 def start_ingest(requests: DataFrame, store: str, checkpoint: str, dead_letters: str | None = None, config: EngineConfig = EngineConfig(), once: bool = False) -> StreamingQuery:
-    """Append every micro-batch to the store. A batch writes its own partition ``batch``, so one that is run again
-    after a failure replaces what it wrote before: each request counts once."""
+    """Append every micro-batch to the store as one block. The block's id is that of the batch, so one that is run again
+    after a failure replaces what it wrote before: each request counts once. requests: as read_requests() or
+    read_compressed() give them. An idle stream writes nothing; a busy one cuts a block each block_ms or flush_bytes."""
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
     def put(batch: DataFrame, number: int) -> None:
-        good, bad = to_logs(flatten(batch))
-        rows = blocks.with_block(good, config.block_ms).withColumn("log_id", F.monotonically_increasing_id() + F.lit(number).cast("bigint") * (1 << 40))
-        rows.repartition("block_start").sortWithinPartitions("block_start", "series_key", "ts_ms").write.mode("overwrite").partitionBy("block_start").parquet(f"{store}/batch={number}")
+        batch = batch.persist()
+        good, bad = to_logs(flatten(batch) if "streams" in batch.columns else batch)
+        Store(batch.sparkSession, store, config).append(good, f"stream-{name}-{number:012d}")
         if dead_letters:
             bad.write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+        batch.unpersist()
 
     writer = requests.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{config.block_ms} milliseconds")).start()
 
 
 def step_counts(logs: DataFrame, start: int, step: int, delay: str = "1 minute") -> DataFrame:
