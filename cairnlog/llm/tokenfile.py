@@ -1,14 +1,15 @@
 """Token-ID output: a wavelet matrix per shard.
 
 A shard holds the ids of consecutive documents as bit-planes, most significant bit first; each plane is stably sorted
-by the bits before it, and carries counts of ones for every 512 bits. From the one compressed file a token can be read
-at any position, counted in any range and found at its k-th occurrence, without decoding the rest.
+by the bits before it, and carries counts of ones for every 512 bits. Planes are compressed in chunks, the counts beside
+them, so that from the one file a token can be read at any position, counted in any range and found at its k-th
+occurrence by reading the header and one chunk of each plane (Shard).
 
 Shards are written as rows of a Parquet table (one binary file a row) in the shared folder: Spark's committer makes a
 lost executor harmless, and any store that Spark writes to will do.
 
 Defined results: null texts are empty documents (their end id alone); null ids come first in the order; repeated ids
-follow each other in the order of their texts; an empty table gives no shard and no row.
+follow each other in the order of the hashes of their texts; very long texts are whole; an empty table gives no shard and no row.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import only, shared_dir, slices
 from .tokens import tokenizer
 
-MAGIC, BLOCK = b"WVMX1\n", 512
+MAGIC, BLOCK = b"WVMX2\n", 512
+#: Bytes of a plane that are compressed together.
+CHUNK = 8192
 FILES = "part int, shard int, first_token long, n_tokens long, n_docs long, file binary"
 
 
@@ -38,15 +42,19 @@ class WaveletMatrix:
 
     def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
         self.n, self.planes, self.zeros = n, planes, zeros
-        self.ranks = [self._directory(p) for p in planes]
+        self._ranks: dict[int, np.ndarray] = {}
 
-    @staticmethod
-    def _directory(plane: np.ndarray) -> np.ndarray:
-        """Ones before each block of BLOCK bits."""
-        per = np.bitwise_count(plane).astype(np.int64)
+    def counts(self, level: int) -> np.ndarray:
+        """Ones in each block of BLOCK bits."""
+        per = np.bitwise_count(self.planes[level])
         pad = -len(per) % (BLOCK // 8)
-        blocks = np.pad(per, (0, pad)).reshape(-1, BLOCK // 8).sum(1) if len(per) + pad else np.zeros(0, np.int64)
-        return np.concatenate([[0], np.cumsum(blocks)])
+        return np.pad(per, (0, pad)).reshape(-1, BLOCK // 8).sum(1, dtype=np.uint16)
+
+    def ranks(self, level: int) -> np.ndarray:
+        """Ones before each block."""
+        if level not in self._ranks:
+            self._ranks[level] = np.concatenate([[0], np.cumsum(self.counts(level), dtype=np.int64)])
+        return self._ranks[level]
 
     @classmethod
     def build(cls, ids: np.ndarray) -> "WaveletMatrix":
@@ -64,20 +72,21 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order, from the last plane up."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n).astype(bool)
-            up = np.empty(self.n, np.uint32)
+            one = np.unpackbits(self.planes[level][:], count=self.n).view(bool)
+            up = np.empty(self.n, kind)
             up[~one] = now[: self.zeros[level]]
-            up[one] = now[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            up[one] = now[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             now = up
-        return now
+        return now.astype(np.uint32)
 
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         block = i // BLOCK
         part = self.planes[level][block * BLOCK // 8 : (i + 7) // 8]
-        return int(self.ranks[level][block]) + int(np.unpackbits(part)[: i - block * BLOCK].sum())
+        return int(self.ranks(level)[block]) + int(np.unpackbits(part)[: i - block * BLOCK].sum())
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
@@ -119,7 +128,7 @@ class WaveletMatrix:
 
     def _nth(self, level: int, k: int, one: bool) -> int:
         """Position of the k-th set (or clear) bit of a plane."""
-        ranks = self.ranks[level]
+        ranks = self.ranks(level)
         before = ranks if one else np.arange(len(ranks)) * BLOCK - ranks
         block = int(np.searchsorted(before, k, "right")) - 1
         bits = np.unpackbits(self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8])
@@ -127,31 +136,67 @@ class WaveletMatrix:
 
 
 def to_file(matrix: WaveletMatrix, doc_ids: list[int | None], sizes: np.ndarray) -> bytes:
-    """Magic, header length, JSON header, then the compressed sections: document ids, sizes, planes."""
+    """Magic, header length, JSON header, then the compressed sections: document ids, sizes, each plane's counts of ones
+    (a section a plane), each plane's chunks (a section a chunk)."""
     pack = zstandard.ZstdCompressor(level=1).compress
     nulls = [i for i, d in enumerate(doc_ids) if d is None]
     ids = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    parts = [pack(ids.tobytes()), pack(np.asarray(sizes, "<i8").tobytes()), *(pack(p.tobytes()) for p in matrix.planes)]
+    levels = range(len(matrix.planes))
+    parts = [pack(ids.tobytes()), pack(np.asarray(sizes, "<i8").tobytes()), *(pack(matrix.counts(k).astype("<u2").tobytes()) for k in levels)]
+    parts += [pack(p[at : at + CHUNK].tobytes()) for p in matrix.planes for at in range(0, len(p), CHUNK)]
     head = json.dumps({"n": matrix.n, "docs": len(doc_ids), "nulls": nulls, "zeros": matrix.zeros, "sections": [len(p) for p in parts]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
 
 
-def from_file(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    if data[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a token shard")
-    at = len(MAGIC) + 4
-    (size,) = struct.unpack("<I", data[len(MAGIC) : at])
-    head = json.loads(data[at : at + size])
-    at += size
-    parts = []
-    for n in head["sections"]:
-        parts.append(zstandard.ZstdDecompressor().decompress(data[at : at + n]))
-        at += n
-    doc_ids: list[int | None] = np.frombuffer(parts[0], "<i8").tolist()
-    for i in head["nulls"]:
-        doc_ids[i] = None
-    planes = [np.frombuffer(p, np.uint8) for p in parts[2:]]
-    return WaveletMatrix(head["n"], planes, head["zeros"]), doc_ids, np.frombuffer(parts[1], "<i8")
+class Plane:
+    """A plane of a file, its chunks read when they are needed."""
+
+    def __init__(self, size: int, chunk: Callable[[int], np.ndarray]):
+        self.size, self.chunk = size, chunk
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        if not isinstance(at, slice):
+            return self.chunk(at // CHUNK)[at % CHUNK]
+        lo, hi, _ = at.indices(self.size)
+        parts = [self.chunk(k) for k in range(lo // CHUNK, -(-hi // CHUNK))]
+        first = lo // CHUNK * CHUNK
+        return np.concatenate([np.zeros(0, np.uint8), *parts])[lo - first : hi - first] if lo < hi else np.zeros(0, np.uint8)
+
+
+class Shard(WaveletMatrix):
+    """A shard's file behind a function that reads (offset, length): access, count and select read what they need."""
+
+    def __init__(self, read: Callable[[int, int], bytes], held: int = 64):
+        start = read(0, len(MAGIC) + 4)
+        if start[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a token shard")
+        (size,) = struct.unpack("<I", start[len(MAGIC) :])
+        self.head = json.loads(read(len(start), size))
+        self.at = np.concatenate([[0], np.cumsum(self.head["sections"], dtype=np.int64)]) + len(start) + size
+        self.read, n, levels = read, self.head["n"], len(self.head["zeros"])
+        width, each = (n + 7) // 8, -(-((n + 7) // 8) // CHUNK)
+        self.chunk = lru_cache(held)(lambda k: np.frombuffer(self.section(k), np.uint8))
+        super().__init__(n, [Plane(width, lambda k, first=2 + levels + level * each: self.chunk(first + k)) for level in range(levels)], self.head["zeros"])
+
+    def section(self, k: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self.read(int(self.at[k]), int(self.at[k + 1] - self.at[k])))
+
+    def counts(self, level: int) -> np.ndarray:
+        return np.frombuffer(self.section(2 + level), "<u2")
+
+    def documents(self) -> tuple[list[int | None], np.ndarray]:
+        doc_ids: list[int | None] = np.frombuffer(self.section(0), "<i8").tolist()
+        for i in self.head["nulls"]:
+            doc_ids[i] = None
+        return doc_ids, np.frombuffer(self.section(1), "<i8")
+
+
+def from_file(data: bytes) -> tuple[Shard, list[int | None], np.ndarray]:
+    shard = Shard(lambda at, n: data[at : at + n])
+    return shard, *shard.documents()
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int, out: str, shard_tokens: int = 1 << 20) -> None:

@@ -146,3 +146,21 @@ def test_shards_round_trip(spark, docs, tmp_path):
         assert bytes(r.ids) == ids.tobytes()
         at += len(ids)
     assert spark.read.parquet(folder).agg(F.max("shard")).first()[0] >= 1
+
+
+def test_one_access_reads_little_of_the_file():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 49_408, 400_000)
+    data = tokenfile.to_file(tokenfile.WaveletMatrix.build(ids), [7], np.array([len(ids)]))
+    read = []
+
+    def part(at, n):
+        read.append(n)
+        return data[at : at + n]
+
+    shard = tokenfile.Shard(part)
+    assert shard.access(123_456) == ids[123_456]
+    assert sum(read) < 0.35 * len(data)
+    where = np.flatnonzero(ids == ids[5])
+    assert shard.count(int(ids[5])) == len(where) and shard.select(int(ids[5]), len(where) - 1) == where[-1]
+    assert (shard.decode() == ids).all() and shard.documents()[0] == [7]
