@@ -10,7 +10,8 @@ A task packs the rows it reads: no shuffle, no state beyond ``held`` pieces a ti
 again. A sequence id is the task's number in the high bits and a counter in the low ones.
 
 Defined results: a null text counts as empty (its one id is the end id); a null id stays null; repeated rows are
-packed as often as they occur; an empty table gives no rows.
+packed as often as they occur; very long texts are packed whole; an empty table gives no rows; other columns than
+doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -92,7 +92,7 @@ YEAR_MS = 1704067200000
 
 OP9_SQL = r"""
 WITH c AS (
-  SELECT DISTINCT page_id, url, 1704067200000 + ((page_id * 7919) % 31536000) * 1000 AS fetched,
+  SELECT row_number() OVER () AS n_row, page_id, url, 1704067200000 + ((page_id * 7919) % 31536000) * 1000 AS fetched,
          coalesce(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') AS host,
          coalesce(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1), '') AS segment
   FROM pages
@@ -109,14 +109,14 @@ WITH c AS (
 ), rules AS (
   SELECT * FROM held WHERE action <> 'remove' AND (until IS NULL OR until > since)
 ), met AS (
-  SELECT c.page_id, c.url, c.fetched, c.host, r.list, r.key, r.action, r.since,
-         row_number() OVER (PARTITION BY c.page_id, c.url, c.fetched
+  SELECT c.n_row, r.list, r.key, r.action, r.since,
+         row_number() OVER (PARTITION BY c.n_row
            ORDER BY contains(r.key, '/') DESC, length(r.key) DESC, (r.action = 'allow') DESC, r.since DESC, r.list DESC) AS n
   FROM c JOIN rules r ON c.fetched >= r.since AND (r.until IS NULL OR c.fetched < r.until)
     AND (c.host = r.key OR ends_with(c.host, '.' || r.key) OR (c.segment <> '' AND r.key = c.host || '/' || c.segment))
 )
 SELECT c.page_id, c.url, c.fetched, c.host, coalesce(m.action, 'pass') AS verdict, m.list AS rule_list, m.key AS rule_key, m.since AS rule_since
-FROM c LEFT JOIN met m ON c.page_id = m.page_id AND c.url = m.url AND c.fetched = m.fetched AND m.n = 1
+FROM c LEFT JOIN met m ON c.n_row = m.n_row AND m.n = 1
 """
 
 

@@ -10,7 +10,8 @@ What a task finds goes out as a forest (each fingerprint to the least one it han
 connection without every pair.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a null id is no component's id
-(a component of null ids alone has a null one); repeated rows share a fingerprint and so a component.
+(a component of null ids alone has a null one); repeated rows share a fingerprint and so a component; very long texts
+count whole; an empty table gives no rows; near_duplicates() reads doc_id and text alone, least_of_each() keeps all columns.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ The lexicon and the logistic weights are fitted on at most ``fit_rows`` labelled
 rows by hash of the id); near copies among them count once, so that words of one much-copied text don't enter.
 
 Defined results: a null text counts as empty; empty texts score like any text without a hit. Where the labels hold no
-two classes every score is 0. Null ids count as held out. A document labelled twice is toxic if one label says so.
+two classes every score is 0. Null ids count as held out. A document labelled twice is toxic if one label says so;
+of lexicon words that weigh the same the last in order is taken first. Very long texts are read whole; repeated rows each
+get a row, an empty table none; other columns than the ids, text and toxic are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ specific one decides (host/segment before host, a longer host before a shorter),
 then the later entry, then the list's name. Intervals and captures meet on (key, time bucket), so one much-captured
 host is spread over its buckets, and adaptive execution splits what is left.
 
-Defined results: a URL that is null or has no host matches nothing and passes, as does a null fetch time; captures
-equal in id, URL and time are one row; entries with a null list, key, action or date are ignored; changes of one list
+Defined results: a URL that is null or has no host matches nothing and passes, as does a null fetch time; repeated
+captures each get a row, an empty table none; very long URLs are read whole; other columns are not read; entries with a null list, key, action or date are ignored; changes of one list
 and key at one instant count by their action's order allow, block, remove, the last one holding; no entries, all pass.
 """
 
@@ -50,7 +50,8 @@ def keys_of(host: Column, segment: Column) -> Column:
 
 def evaluate(captures: DataFrame, entries: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """(page_id, url, fetched, host, verdict, rule_list, rule_key, rule_since) for captures (page_id, url, fetched)."""
-    c = captures.select("page_id", "url", "fetched").withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
+    # Each capture is a row of its own, repeated or not; its number is that of its place in its partition.
+    c = captures.select("page_id", "url", "fetched", F.monotonically_increasing_id().alias("_row")).withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
     asked = c.withColumn("key", F.explode_outer(keys_of(F.col("host"), F.coalesce(segment_of(F.col("url")), F.lit(""))))).withColumn("bucket", F.floor(F.col("fetched") / bucket_ms))
     span = c.agg(F.min("fetched").alias("lo"), F.max("fetched").alias("hi")).first()
     lo, hi = span.lo or 0, span.hi or 0
@@ -60,7 +61,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, bucket_ms: int = BUCKET_MS
     rules = active.select(F.col("list"), F.col("key").alias("_key"), "action", "since", "until", F.explode(F.sequence(first, last)).alias("_bucket"))
     met = asked.join(rules, (F.col("key") == F.col("_key")) & (F.col("bucket") == F.col("_bucket")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))), "left")
     rule = F.when(F.col("_key").isNotNull(), F.struct(F.contains(F.col("_key"), F.lit("/")).alias("path"), F.length("_key").alias("size"), (F.col("action") == "allow").alias("allow"), "since", F.col("list"), F.col("_key").alias("key"), "action"))
-    best = met.groupBy("page_id", "url", "fetched", "host").agg(F.max(rule).alias("rule"))
+    best = met.groupBy("_row", "page_id", "url", "fetched", "host").agg(F.max(rule).alias("rule"))
     return best.select(
         "page_id", "url", "fetched", "host", F.coalesce(F.col("rule.action"), F.lit("pass")).alias("verdict"), F.col("rule.list").alias("rule_list"), F.col("rule.key").alias("rule_key"), F.col("rule.since").alias("rule_since")
     )

@@ -83,7 +83,11 @@ def test_links_and_components(spark, held):
     assert got == {n: r for n, r in want.items() if any(n in x for x in links)}
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("held", [400_000, 40])
+def test_components_of_long_chains(spark, monkeypatch, held):
+    from cairnlog.llm import components as module
+
+    monkeypatch.setattr(module, "HELD", held)
     rng = random.Random(2)
     order = list(range(200))
     rng.shuffle(order)

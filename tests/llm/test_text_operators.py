@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairnlog.llm import decontam, htmltext, langid, secrets, toxicity, urlfilter
 
@@ -442,7 +443,9 @@ def test_lists_as_of(spark):
         "page_id bigint, url string, fetched bigint",
     )
     for bucket in (7, urlfilter.BUCKET_MS):
-        got = {r.page_id: r.verdict for r in urlfilter.evaluate(captures, entries, bucket).collect()}
+        rows = urlfilter.evaluate(captures.withColumn("host", F.lit("x")).withColumn("_row", F.lit(1)), entries, bucket).collect()
+        assert sorted(r.page_id for r in rows) == [*range(1, 12), 11]
+        got = {r.page_id: r.verdict for r in rows}
         assert got == {1: "pass", 2: "block", 3: "block", 4: "pass", 5: "allow", 6: "allow", 7: "allow", 8: "pass", 9: "pass", 10: "pass", 11: "pass"}
     assert {r.verdict for r in urlfilter.evaluate(captures, entries.limit(0)).collect()} == {"pass"}
     assert urlfilter.evaluate(captures.limit(0), entries).count() == 0
