@@ -202,7 +202,7 @@ def _(spark, d):
 
 @query("term_freq", f"WITH {TOK} SELECT term, log_id, count(*) AS freq FROM tok GROUP BY 1, 2")
 def _(spark, d):
-    return index.term_freq(index.terms(tables.documents(spark, d)))
+    return index.term_freq(tables.documents(spark, d))
 
 
 @query("posting_stats", f"WITH {TOK} SELECT term, series_key, count(DISTINCT log_id) AS doc_freq, min(ts_ms) AS min_ts, max(ts_ms) AS max_ts FROM tok GROUP BY 1, 2")

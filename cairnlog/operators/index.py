@@ -18,9 +18,15 @@ def terms(logs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
     return logs.select("series_key", "ts_ms", "log_id", F.posexplode(tokenize(F.col("line"), tokenizer)).alias("p", "term")).select("term", "series_key", "ts_ms", "log_id", (F.col("p") + 1).alias("pos"))
 
 
-def term_freq(flat: DataFrame) -> DataFrame:
-    """(term, log_id, freq): how often a term stands in a line."""
-    return flat.groupBy("term", "log_id").agg(F.count("*").alias("freq"))
+def term_freq(logs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
+    """(term, log_id, freq): how often a term stands in a line, for lines unique by id. Counted within the row, as runs of
+    its sorted tokens: no shuffle."""
+    rows = logs.select("log_id", F.sort_array(tokenize(F.col("line"), tokenizer)).alias("_s")).filter(F.size("_s") > 0)
+    new = lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1))
+    rows = rows.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_s") - 1), new))
+    ends = F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_s")))
+    runs = rows.select("log_id", "_s", F.explode(F.arrays_zip(F.col("_at").alias("lo"), ends.alias("hi"))).alias("_r"))
+    return runs.select(F.get("_s", F.col("_r.lo")).alias("term"), "log_id", (F.col("_r.hi") - F.col("_r.lo")).cast("bigint").alias("freq"))
 
 
 def line_terms(logs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
@@ -44,10 +50,13 @@ def postings(flat: DataFrame, chunk_ms: int = 86_400_000) -> DataFrame:
 
 
 def index_summary(logs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
-    """(term, n_series, n_lines, n_tokens) over the whole index."""
-    tokens = logs.select("series_key", F.explode(tokenize(F.col("line"), tokenizer)).alias("term"), "log_id")
-    lines = tokens.groupBy("term", "series_key", "log_id").agg(F.count("*").alias("k"))
-    by_series = lines.groupBy("term", "series_key").agg(F.count("*").alias("l"), F.sum("k").alias("t"))
+    """(term, n_series, n_lines, n_tokens) over the whole index. A line's sorted tokens tell by themselves which are the
+    first of their term, so that lines and tokens are counted by (term, series) at once, on the map side."""
+    rows = logs.select("series_key", F.sort_array(tokenize(F.col("line"), tokenizer)).alias("_s"))
+    pairs = F.arrays_zip(F.col("_s").alias("term"), F.concat(F.array(F.lit(None).cast("string")), F.col("_s")).alias("last"))
+    tokens = rows.select("series_key", F.explode(pairs).alias("_p")).select("series_key", "_p.term", "_p.last").filter("term IS NOT NULL")
+    first = F.when(F.col("term").eqNullSafe(F.col("last")), 0).otherwise(1).cast("bigint")
+    by_series = tokens.groupBy("term", "series_key").agg(F.sum(first).alias("l"), F.count("*").alias("t"))
     return by_series.groupBy("term").agg(F.count("*").alias("n_series"), F.sum("l").alias("n_lines"), F.sum("t").alias("n_tokens"))
 
 

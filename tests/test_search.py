@@ -75,7 +75,12 @@ def test_bad_arguments(golden):
 def test_term_facts(golden):
     flat = index.terms(golden).filter("term = 'error' and log_id = 3")
     assert sorted(r.pos for r in flat.collect()) == [1, 4]
-    assert index.term_freq(flat).collect()[0].freq == 2
+    counts = {(r.term, r.log_id): r.freq for r in index.term_freq(golden).collect()}
+    assert counts["error", 3] == 2 and counts["error", 1] == 1 and sum(counts.values()) == index.terms(golden).count()
+    odd = golden.withColumn("line", F.when(F.col("log_id") == 1, F.lit(None)).when(F.col("log_id") == 2, " .").otherwise(F.col("line")))
+    assert {r.log_id for r in index.term_freq(odd).collect()} == {3, 4, 5, 6}
+    summary = {r.term: (r.n_series, r.n_lines, r.n_tokens) for r in index.index_summary(odd).collect()}
+    assert summary["error"] == (2, 2, 3) and summary["disk"] == (1, 2, 2)
 
 
 def test_step_counts(golden, spark):
