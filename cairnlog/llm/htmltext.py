@@ -3,9 +3,10 @@
 A page is a stream of block tags and text runs (inline tags are part of the text). From a bounded sample of a host's
 pages one wrapper is inferred: repeats inside a stream fold into repeated groups, then streams are aligned one after
 the other; text against text becomes a slot, what only some pages have an optional group. A text that a slot has on three
-pages and on half of the sample is template and no main text, whatever elements enclose it; headings alone are spared, and
-a wrapper whose template texts would be over half of the sample's main text has none (a host of copies of one article).
-Otherwise a slot is main text or boilerplate by the vote of the pages it was aligned from, where a page votes by the
+pages and on half of the sample is template and no main text. Headings are spared, and within an article or main element
+all text that stands in no box of its own there (a div, list or the like with a class or id): a passage that a host's
+articles share is theirs. A wrapper whose template texts would be over half of the sample's main text has none (a host of
+copies of one article). Otherwise a slot is main text or boilerplate by the vote of the pages it was aligned from, where a page votes by the
 elements that enclose the text. A page that its host's wrapper matches gets its text from the wrapper's main slots; one
 that it doesn't match, or whose host has none, from its own elements by the same rules. Every text is whole, and no page
 is too long to take part: nothing is cut by length.
@@ -50,6 +51,7 @@ BLOCKS = frozenset(
     tbody td tfoot th thead tr ul button""".split()
 )
 LOOSE = frozenset("p li dt dd tr td th option".split())
+BOXES = frozenset("div section ul ol dl table details figure fieldset address blockquote".split())
 BOILER_TAGS = frozenset("nav footer aside form dialog menu button select option search head".split())
 #: Words of class, id and role that mark boilerplate; header counts outside an article alone.
 BOILER_WORDS = frozenset(
@@ -89,11 +91,11 @@ class Settings:
     broadcast_bytes: int = 16_000_000
 
 
-def tokens(page: str) -> list[tuple[str, str, bool, str]]:
-    """(symbol, text, main, root): symbol '#' for a text run, else a block tag with its class words."""
-    out: list[tuple[str, str, bool, str]] = []
-    # Open structural elements: (tag, boilerplate from here on, in article, in main)
-    stack: list[tuple[str, bool, bool, bool]] = []
+def tokens(page: str) -> list[tuple[str, str, bool, str, bool]]:
+    """(symbol, text, main, root, boxed): symbol '#' for a text run, else a block tag with its class words."""
+    out: list[tuple[str, str, bool, str, bool]] = []
+    # Open structural elements: (tag, boilerplate from here on, in article, in main, in a box of the article)
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
     run: list[str] = []
     at, n = 0, len(page)
     rooted = False
@@ -102,8 +104,8 @@ def tokens(page: str) -> list[tuple[str, str, bool, str]]:
         text = SPACE.sub(" ", entities.unescape("".join(run))).strip()
         run.clear()
         if text:
-            boiler, article, main = (stack[-1][1:]) if stack else (False, False, False)
-            out.append(("#", text, not boiler, "article" if article else "main" if main else "body"))
+            boiler, article, main, boxed = stack[-1][1:] if stack else (False, False, False, False)
+            out.append(("#", text, not boiler, "article" if article else "main" if main else "body", boxed or not (article or main)))
 
     while at < n:
         m = TAG.search(page, at)
@@ -126,7 +128,7 @@ def tokens(page: str) -> list[tuple[str, str, bool, str]]:
                 if close in LOOSE and stack[k][0] not in LOOSE:
                     break
             if close not in LOOSE:  # their end tags are optional, so they tell nothing of the template
-                out.append((f"</{close}>", "", False, ""))
+                out.append((f"</{close}>", "", False, "", False))
             continue
         if not name:
             continue
@@ -147,7 +149,8 @@ def tokens(page: str) -> list[tuple[str, str, bool, str]]:
         for key, value in NAMED.findall(attrs):
             if key.lower() in ("class", "id", "role"):
                 words |= words_of(value.strip("\"'"))
-        boiler, article, main = stack[-1][1:] if stack else (False, False, False)
+        boiler, article, main, boxed = stack[-1][1:] if stack else (False, False, False, False)
+        boxed |= (article or main) and bool(words) and name in BOXES
         root = name in ("article", "main") or (name == "div" and re.search(r"role\s*=\s*[\"']?main", attrs, re.I))
         if root and boiler and not rooted and not any(x[0] in BOILER_TAGS for x in stack):
             boiler = False
@@ -170,14 +173,14 @@ def tokens(page: str) -> list[tuple[str, str, bool, str]]:
                 boiler |= bool(stack and stack[-1][1])
             elif stack and stack[-1][0] == "p":
                 stack.pop()
-            stack.append((name, boiler, article, main))
-        out.append((f"<{name}{'.' + '.'.join(sorted(words - {''})) if words else ''}>", "", False, ""))
+            stack.append((name, boiler, article, main, boxed))
+        out.append((f"<{name}{'.' + '.'.join(sorted(words - {''})) if words else ''}>", "", False, "", False))
     flush()
     root = next((r for r in ("article", "main") if any(t[2] and t[3] == r for t in out)), "body")
-    return [(s, t, ok and (where == root or (root == "main" and where == "article")), where) for s, t, ok, where in out]
+    return [(s, t, ok and (where == root or (root == "main" and where == "article")), where, boxed) for s, t, ok, where, boxed in out]
 
 
-# A wrapper is a list of nodes: ("t", symbol), ("+", nodes), ("?", nodes) and ("#", main votes, all votes, texts, heading):
+# A wrapper is a list of nodes: ("t", symbol), ("+", nodes), ("?", nodes) and ("#", main votes, all votes, texts, spared):
 # texts has for the hash of each text that was met in the slot the pages that had it, as bits.
 
 
@@ -191,7 +194,7 @@ def merge(a: tuple, b: tuple) -> tuple:
         texts, more = (a[3], b[3]) if len(a[3]) >= len(b[3]) else (b[3], a[3])
         for mark, where in more.items():
             texts[mark] = texts.get(mark, 0) | where
-        return ("#", a[1] + b[1], a[2] + b[2], texts, a[4] or b[4])
+        return ("#", a[1] + b[1], a[2] + b[2], texts, a[4] or b[4])  # spared once, spared for good
     if a[0] in "+?":
         return (a[0], align(a[1], b[1]))
     return a
@@ -348,10 +351,10 @@ def infer(pages: list[str], s: Settings = Settings()) -> list[tuple] | None:
             continue
         seen.add(same_texts)
         nodes, last = [], ""
-        for sym, text, ok, _ in stream:
+        for sym, text, ok, _, boxed in stream:
             if sym == "#":
                 mark = hash64(text)
-                nodes.append(("#", int(ok), 1, {mark: 1 << used}, bool(HEADING.match(last))))
+                nodes.append(("#", int(ok), 1, {mark: 1 << used}, bool(HEADING.match(last)) or not boxed))
                 if ok:
                     main_chars[mark] += len(text)
             else:
@@ -413,7 +416,7 @@ class Wrapper:
             return re.escape(self.letters.setdefault(node[1], chr(0x4E00 + len(self.letters))))
         return f"(?:{''.join(map(self._regex, node[1]))}){node[0]}+"
 
-    def main(self, stream: list[tuple[str, str, bool, str]]) -> list[bool] | None:
+    def main(self, stream: list[tuple[str, str, bool, str, bool]]) -> list[bool] | None:
         """Which tokens are main text; None where the wrapper does not match."""
         m = self.pattern.fullmatch("".join(self.letters.get(t[0], "?") for t in stream))
         if not m:
@@ -424,7 +427,7 @@ class Wrapper:
             for i in range(lo, hi):
                 if flag is not None:
                     out[i] = flag
-                if template and out[i] and stream[i][0] == "#" and not (i and HEADING.match(stream[i - 1][0])) and hash64(stream[i][1]) in template:
+                if template and out[i] and stream[i][4] and not (i and HEADING.match(stream[i - 1][0])) and hash64(stream[i][1]) in template:
                     out[i] = False
         return out
 
