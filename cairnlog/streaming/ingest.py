@@ -40,11 +40,13 @@ def start_ingest(requests: DataFrame, store: str, checkpoint: str, dead_letters:
 
     def put(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        good, bad = to_logs(flatten(batch) if "streams" in batch.columns else batch)
-        Store(batch.sparkSession, store, config).append(good, f"stream-{name}-{number:012d}")
-        if dead_letters:
-            bad.write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
-        batch.unpersist()
+        try:
+            good, bad = to_logs(flatten(batch) if "streams" in batch.columns else batch)
+            Store(batch.sparkSession, store, config).append(good, f"stream-{name}-{number:012d}")
+            if dead_letters:
+                bad.write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+        finally:
+            batch.unpersist()
 
     writer = requests.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{config.block_ms} milliseconds")).start()
