@@ -123,7 +123,7 @@ def sets_of(docs: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the sets wanted (rep, key, id), read from the rows of their documents."""
+    """(id, shingles, bits) of the sets wanted (rep, key, id), read from the rows of their documents; bits: parity."""
     ids = wanted.select(F.col("rep").alias("_rep")).filter("_rep IS NOT NULL").distinct()
     if wanted.count() <= BROADCAST_GROUPS:
         ids = F.broadcast(ids)
@@ -133,25 +133,22 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [shingles(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([key(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["key", "shingles"])
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([key(x) for x in found], pa.int64()), sets, pa.array([parity(x) for x in found], pa.binary())], names=["key", "shingles", "bits"])
 
-    found = rows.mapInArrow(run, "key long, shingles array<long>")
+    found = rows.mapInArrow(run, "key long, shingles array<long>, bits binary")
     named = found.join(wanted.select(F.col("key").alias("_key"), "id"), F.col("key") == F.col("_key"))
-    return named.groupBy("id").agg(F.first("shingles").alias("shingles"))
+    return named.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
 
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose sets are similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            x, y = batch.column("x"), batch.column("y")
-            good = [similar(x[k].values.to_numpy(), y[k].values.to_numpy()) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
+    """The pairs (a, b) of ids whose sets are similar. They are intersected in the JVM: whole sets, twice for each pair,
+    would fill the Arrow batches of 10,000 rows, which both sides of the way to Python hold at once."""
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    # Similar: 5 common >= 4 (|x| + |y| - common).
+    return two.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
 def simhash_links(reps: DataFrame, whole: DataFrame, budget: int = 3) -> DataFrame:
@@ -292,15 +289,7 @@ def not_ruled_out(rows: DataFrame, part: int = 0, every: bool = False) -> DataFr
 
 def with_bits(rows: DataFrame, whole: DataFrame) -> DataFrame:
     """rows (with id) and each id's parity bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = batch.column("shingles")
-            bits = [parity(sets[k].values.to_numpy().view(np.uint64)) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bits, pa.binary())], names=["id", "bits"])
-
-    wanted = whole.join(rows.select(F.col("id").alias("_i")).distinct(), F.col("id") == F.col("_i"), "left_semi")
-    return rows.join(wanted.mapInArrow(run, "id long, bits binary").withColumnRenamed("id", "_b"), F.col("id") == F.col("_b")).drop("_b")
+    return rows.join(whole.select(F.col("id").alias("_b"), "bits"), F.col("id") == F.col("_b")).drop("_b")
 
 
 def links(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame | None:

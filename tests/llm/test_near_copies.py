@@ -173,3 +173,24 @@ def test_language_stage_rejects(spark):
         assert not out & {10001, 10002, 10003, 10004}
         clean = {r.doc_id for r in docs.filter(F.col("lang").isin(*labels)).collect()}
         assert len(out & clean) >= 0.97 * len(clean)
+
+
+def test_whole_sets_are_checked_in_the_jvm(spark):
+    """The sets of pairs fill no Arrow batches, and the border of 4/5 is exact."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 5000, 120)) for _ in range(6)] + ["one two", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = spark.createDataFrame([(k, nearcopies.key(nearcopies.shingles(t)), k) for k, t in enumerate(texts)], "rep long, key long, id long")
+    whole = nearcopies.whole_sets(docs, wanted)
+    assert {r.id: (r.shingles, bytes(r.bits)) for r in whole.collect()} == {k: (nearcopies.shingles(t).view(np.int64).tolist(), nearcopies.parity(nearcopies.shingles(t))) for k, t in enumerate(texts)}
+    base = rng.integers(0, 1 << 60, 90)
+    found = {k: [int(x) for x in base[:n]] for k, n in enumerate((90, 72, 71, 89, 1, 0, 0))} | {7: [int(x) for x in base[10:]] + [5, 6]}
+    sets = spark.createDataFrame(list(found.items()), "id long, shingles array<long>")
+    pairs = [(a, b) for a in found for b in found if a < b]
+    got = nearcopies.checked(spark.createDataFrame(pairs, "a long, b long"), sets)
+    want = {(a, b) for a, b in pairs if nearcopies.similar(np.array(sorted(found[a]), np.int64), np.array(sorted(found[b]), np.int64))}
+    assert {(r.a, r.b) for r in got.collect()} == want and {(0, 1), (5, 6)} <= want and (0, 2) not in want
+    bits = nearcopies.with_bits(wanted.select("id"), whole.select("id", "bits"))
+    for plan in (got, bits):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "InArrow" not in text.split("Join", 1)[0]
