@@ -164,3 +164,15 @@ def test_one_access_reads_little_of_the_file():
     where = np.flatnonzero(ids == ids[5])
     assert shard.count(int(ids[5])) == len(where) and shard.select(int(ids[5]), len(where) - 1) == where[-1]
     assert (shard.decode() == ids).all() and shard.documents()[0] == [7]
+
+
+def test_new_plain_words_take_the_short_way():
+    """Words of ASCII letters that are met first go to the library as they are, long and equally long ones among them."""
+    import numpy as np
+
+    from cairnlog.llm.tokens import CachedTokenizer, public_path
+
+    tok = CachedTokenizer(public_path("word_bpe_49k.json"))
+    tok.letters = None
+    texts = ["Plain words, MIXED Case; twice: twice", "", "zqxj" * 40 + " " + "qzv" * 20, "ab cd"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tok.ids(texts)] == tok._whole(texts)
