@@ -218,9 +218,9 @@ def _(spark, d):
 @query("postings", f"""WITH {TOK}, l AS (SELECT term, series_key, log_id, ts_ms // 86400000 AS chunk, count(*) AS freq, array_to_string(list(pos ORDER BY pos), ' ') AS p FROM tok GROUP BY 1, 2, 3, 4)
   SELECT term, series_key, chunk, count(*) AS doc_freq, array_to_string(list(log_id || ':' || freq || ':' || p ORDER BY log_id), ',') AS entries FROM l GROUP BY 1, 2, 3""")
 def _(spark, d):
-    flat = index.terms(tables.documents(spark, d))
+    logs = tables.documents(spark, d)
     entry = lambda e: F.concat_ws(":", e["log_id"].cast("string"), e["freq"].cast("string"), F.array_join(e["positions"].cast("array<string>"), " "))
-    return index.postings(flat).select("term", "series_key", "chunk", "doc_freq", F.array_join(F.transform("entries", entry), ",").alias("entries"))
+    return index.postings(logs).select("term", "series_key", "chunk", "doc_freq", F.array_join(F.transform("entries", entry), ",").alias("entries"))
 
 
 @query("posting_deltas", f"""WITH {TOK}, l AS (SELECT DISTINCT term, series_key, ts_ms, log_id, ts_ms // 86400000 AS chunk FROM tok)

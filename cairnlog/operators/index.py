@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.tokenizers import DEFAULT, tokenize
 
+#: Bytes of a series' lines in a chunk up to which one task makes their postings, and bytes of lines for a task to get.
+TOGETHER, TASK = 64 << 20, 8 << 20
+#: Larger chunks of series than that are broadcast up to this number; beyond, the terms of all are dealt out.
+LARGE = 100_000
+
 
 def terms(logs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
     """One row per token; pos counts from 1 within the line."""
@@ -40,13 +45,44 @@ def posting_stats(logs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
     return line_terms(logs, tokenizer).groupBy("term", "series_key").agg(F.count("*").alias("doc_freq"), F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"))
 
 
-def postings(flat: DataFrame, chunk_ms: int = 86_400_000) -> DataFrame:
+def line_postings(lines: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
+    """One row per distinct term of a line with its positions, beside the line's other columns. Made within the row, as
+    runs of its sorted tokens: no shuffle."""
+    tokens = F.transform(tokenize(F.col("line"), tokenizer), lambda t, i: F.struct(t.alias("term"), (i + 1).alias("pos")))
+    rows = lines.withColumn("_s", F.sort_array(tokens)).drop("line")
+    new = lambda i: (i == 0) | (F.get("_s", i)["term"] != F.get("_s", i - 1)["term"])
+    rows = rows.withColumn("_at", F.filter(F.transform("_s", lambda _, i: i), new))
+    ends = F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_s")))
+    run = lambda lo, hi: F.struct(F.get("_s", lo)["term"].alias("term"), F.slice("_s", lo + 1, hi - lo)["pos"].alias("positions"))
+    # A line without tokens has an end but no start. To leave it out before would make its tokens twice.
+    return rows.select(*[c for c in rows.columns if c not in ("_s", "_at")], F.inline(F.zip_with("_at", ends, run))).filter("term IS NOT NULL")
+
+
+def postings(logs: DataFrame, chunk_ms: int = 86_400_000, tokenizer: str = DEFAULT, together: int = TOGETHER, task_bytes: int = TASK) -> DataFrame:
     """Nested postings by (term, series, chunk). A chunk is a stretch of time, so a hot term's list in a hot series takes
-    many rows, and none grows with the store."""
-    lines = flat.groupBy("term", "series_key", "ts_ms", "log_id").agg(F.count("*").cast("int").alias("freq"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    lines = lines.withColumn("chunk", F.expr(f"(ts_ms - pmod(ts_ms, {chunk_ms}L)) div {chunk_ms}L"))
-    entry = F.struct("ts_ms", "log_id", "freq", "positions")
-    return lines.groupBy("term", "series_key", "chunk").agg(F.count("*").alias("doc_freq"), F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    many rows, and none grows with the store.
+
+    Lines go to the task of their series and chunk, where all of their lists are made: text is shuffled once, terms never
+    are. The terms of a series' chunk of more than together bytes are dealt out instead, so that no task gets all of it."""
+    lines = logs.select("series_key", F.expr(f"(ts_ms - pmod(ts_ms, {chunk_ms}L)) div {chunk_ms}L").alias("chunk"), "ts_ms", "log_id", "line")
+    sizes = lines.groupBy("series_key", "chunk").agg(F.sum(F.octet_length("line")).alias("_n"))
+    r = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.count_if(F.col("_n") > together).alias("large")).first()
+    parts = -(-r.n // task_bytes)
+    # As many tasks as the text needs, by its size and not by the session's settings; Spark puts small ones together.
+    deal = lambda rows, *keys: rows.repartition(parts, *keys) if parts > 1 else rows.repartition(*keys)
+
+    def lists(rows: DataFrame) -> DataFrame:
+        entry = F.struct("ts_ms", "log_id", F.size("positions").alias("freq"), "positions")
+        return rows.groupBy("term", "series_key", "chunk").agg(F.count("*").alias("doc_freq"), F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"), F.array_sort(F.collect_list(entry)).alias("entries"))
+
+    gathered = lambda rows: lists(line_postings(deal(rows, "series_key", "chunk"), tokenizer))
+    dealt_out = lambda rows: lists(deal(line_postings(rows, tokenizer), "term", "series_key", "chunk"))
+    if not r.large:
+        return gathered(lines)
+    if r.large > LARGE:
+        return dealt_out(lines)
+    large = F.broadcast(sizes.filter(F.col("_n") > together).select("series_key", "chunk"))
+    return gathered(lines.join(large, ["series_key", "chunk"], "left_anti")).union(dealt_out(lines.join(large, ["series_key", "chunk"], "left_semi")))
 
 
 def index_summary(logs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:

@@ -169,3 +169,24 @@ def test_predicates_reach_the_scan(spark, tmp_path):
     assert "BatchEvalPython" not in plan
     counted = metrics.step_count(tables.events(spark, "/root/testdata/sf0.001"), 0, 10**15, 1000)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in counted.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_postings_shuffle_lines_once(golden):
+    golden = golden.unionByName(golden.filter("log_id = 1").withColumns({"log_id": F.lit(7).cast("bigint"), "line": F.lit("--")}))
+    want = {}
+    for r in golden.collect():
+        for at, term in enumerate(re.findall(r"\w+", r.line), 1):
+            want.setdefault((term, r.series_key, r.ts_ms // 2000), {}).setdefault((r.ts_ms, r.log_id), []).append(at)
+    found = {k: index.postings(golden, 2000, together=k, task_bytes=20) for k in (1 << 20, 28, 0)}
+    plans = {k: made._jdf.queryExecution().executedPlan().toString() for k, made in found.items()}
+    for made in found.values():
+        rows = made.collect()
+        assert len(rows) == len(want)
+        for r in rows:
+            lists = want[r.term, r.series_key, r.chunk]
+            assert [(e.ts_ms, e.log_id, e.freq, e.positions) for e in r.entries] == [(*k, len(p), p) for k, p in sorted(lists.items())]
+            assert (r.doc_freq, r.min_ts, r.max_ts) == (len(lists), min(lists)[0], max(lists)[0])
+    # What is small is shuffled as lines and once; only a large chunk of a series has its terms dealt out.
+    dealt = lambda plan, keys: len(re.findall(rf"Exchange hashpartitioning\({keys}", plan))
+    assert plans[1 << 20].count(" Exchange ") == 1 == dealt(plans[1 << 20], "series_key")
+    assert dealt(plans[28], "term") >= 1 <= dealt(plans[28], "series_key") and dealt(plans[0], "term") >= 1
