@@ -67,11 +67,14 @@ def serialised(labels: Column, separator: str = "ÿ") -> Column:
 
 def parse(text: Column) -> Column:
     """Label text to a map; null where the text is no label set. The last of repeated names holds."""
-    names = F.regexp_extract_all(text, F.lit(ITEM), F.lit(1))
-    values = F.transform(F.regexp_extract_all(text, F.lit(ITEM), F.lit(2)), unquoted)
-    entries = F.arrays_zip(names.alias("key"), values.alias("value"))
-    last = F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(names, i + 2, F.size(names)), lambda n: n == e["key"])))
-    return F.when(F.regexp_like(text, F.lit(WHOLE)), last)
+    def last(found: Column) -> Column:
+        names = found["names"]
+        entries = F.zip_with(names, found["values"], lambda k, v: F.struct(k.alias("key"), unquoted(v).alias("value")))
+        return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(names, i + 2, F.size(names)), lambda n: n == e["key"])))
+
+    # As the only element of an array, so that the items are found once and not again for each use.
+    found = F.struct(F.regexp_extract_all(text, F.lit(ITEM), F.lit(1)).alias("names"), F.regexp_extract_all(text, F.lit(ITEM), F.lit(2)).alias("values"))
+    return F.when(F.regexp_like(text, F.lit(WHOLE)), F.get(F.transform(F.array(found), last), F.lit(0)))
 
 
 def tag(name: Column, value: Column) -> Column:

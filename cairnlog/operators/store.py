@@ -31,6 +31,9 @@ META = "version int, block_id string, level int, parents array<string>, min_ts b
 LOGS = "log_id bigint, series_key string, labels map<string,string>, ts_ms bigint, line string"
 TERMS = "term string, series_key string, n_lines bigint, min_ts bigint, max_ts bigint"
 SERIES = "series_key string, labels map<string,string>, n_logs bigint, min_ts bigint, max_ts bigint"
+LINES = "series_key string, labels map<string,string>, ts_ms bigint, line string"
+#: How monotonically_increasing_id() numbers rows: the partition above these bits, the place in it below.
+PLACE_BITS = 33
 #: Candidate (block, series) pairs up to which they are broadcast against the lines; beyond, blocks alone are pruned.
 CANDIDATES = 100_000
 
@@ -50,19 +53,6 @@ class Meta:
     promoted: tuple[str, ...] = field(default=())
 
 
-def numbered(logs: DataFrame, first_id: int, bucket_ms: int = EngineConfig.block_ms, slices: int = 64) -> DataFrame:
-    """Consecutive ids from first_id in order of (ts_ms, series_key, line). A bucket of time is split into slices, so that
-    neither a hot bucket nor a hot series is numbered in one task; the offsets of the slices are running sums in two levels."""
-    rows = blocks.with_block(logs, bucket_ms).withColumn("_salt", F.expr(f"((ts_ms - block_start) * {slices}) div {bucket_ms}").cast("int"))
-    counts = rows.groupBy("block_start", "_salt").agg(F.count("*").alias("total"))
-    ahead = F.coalesce(F.sum("total").over(Window.partitionBy("block_start").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = blocks.log_offsets(counts.groupBy("block_start").agg(F.sum("total").alias("total"))).select(F.col("block_start").alias("_b"), "log_offset")
-    parts = counts.withColumn("_ahead", ahead).join(offsets, F.col("block_start") == F.col("_b")).select("_b", F.col("_salt").alias("_s"), (F.col("log_offset") + F.col("_ahead")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("block_start", "_salt").orderBy("ts_ms", "series_key", "line"))
-    placed = rows.withColumn("_place", place).join(parts, (F.col("block_start") == F.col("_b")) & (F.col("_salt") == F.col("_s")))
-    return placed.withColumn("log_id", (F.col("_place") + F.col("_before") + (first_id - 1)).cast("bigint")).drop("_place", "_before", "_b", "_s", "_salt", "block_start")
-
-
 class Store:
     def __init__(self, spark: SparkSession, path: str, config: EngineConfig = EngineConfig()):
         self.spark, self.path, self.config = spark, path.rstrip("/"), config
@@ -96,13 +86,24 @@ class Store:
         reader = self.spark.read.schema(f"{schema}, block string").option("basePath", f"{self.path}/{kind}")
         return reader.parquet(*[self._folder(kind, m.block_id) for m in held])
 
-    def _commit(self, lines: DataFrame, block_id: str, level: int, parents: list[str], last_id: int = 0) -> Meta | None:
-        """Index the written lines of a block and make it visible. last_id: the least to note as given out."""
+    @staticmethod
+    def _indexed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Series and postings of lines."""
         by_series = lines.groupBy("series_key").agg(F.first("labels").alias("labels"), F.count("*").alias("n_logs"), F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"), F.min("log_id").alias("_lo"), F.max("log_id").alias("_hi"))
+        return by_series, index.posting_stats(lines).select("term", "series_key", F.col("doc_freq").alias("n_lines"), "min_ts", "max_ts")
+
+    def _merged(self, held: list[Meta]) -> tuple[DataFrame, DataFrame]:
+        """Series and postings of all lines of some blocks, from their own: no line is read."""
+        ends = (F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
+        series = self._read("series", f"{SERIES}, _lo bigint, _hi bigint", held)
+        by_series = series.groupBy("series_key").agg(F.first("labels").alias("labels"), F.sum("n_logs").alias("n_logs"), *ends, F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        return by_series, self._read("terms", TERMS, held).groupBy("term", "series_key").agg(F.sum("n_lines").alias("n_lines"), *ends)
+
+    def _commit(self, by_series: DataFrame, postings: DataFrame, block_id: str, level: int, parents: list[str], last_id: int = 0) -> Meta | None:
+        """Write the index of a block whose lines are written and make it visible. last_id: the least to note as given out."""
         by_series.repartitionByRange("series_key").sortWithinPartitions("series_key").write.mode("overwrite").parquet(self._folder("series", block_id))
         known = self.spark.read.parquet(self._folder("series", block_id))
         r = known.agg(F.min("min_ts").alias("lo"), F.max("max_ts").alias("hi"), F.sum("n_logs").alias("n"), F.count("*").alias("s"), F.min("_lo").alias("first"), F.max("_hi").alias("last")).first()
-        postings = index.posting_stats(lines).select("term", "series_key", F.col("doc_freq").alias("n_lines"), "min_ts", "max_ts")
         postings.repartitionByRange("term", "series_key").sortWithinPartitions("term", "series_key").write.mode("overwrite").parquet(self._folder("terms", block_id))
         if r.n is None and not parents:
             return None
@@ -126,8 +127,30 @@ class Store:
         block_id = block_id or uuid.uuid4().hex
         others = [m for m in self.metas() if m.block_id != block_id]
         first = max([m.last_id for m in others], default=0) + 1
-        lines = self._write_lines(numbered(logs, first, self.config.block_ms), block_id, True)
-        return self._commit(lines, block_id, 1, [])
+        try:
+            lines = self._write_lines(self._numbered(logs, block_id, first), block_id, True)
+        finally:
+            for kind in ("incoming", "placed"):
+                delete(self.spark, self._folder(kind, block_id))
+        return self._commit(*self._indexed(lines), block_id, 1, [])
+
+    def _numbered(self, logs: DataFrame, block_id: str, first_id: int) -> DataFrame:
+        """Consecutive ids from first_id in order of (ts_ms, series_key, line). What comes in is made once, into a table.
+        From there lines are dealt out by sampled ranges of that order, so that neither a hot time nor a hot series meets
+        in one task, and written with their places; an id is a place behind the lines of the ranges before."""
+        def table(rows: DataFrame, kind: str, schema: str) -> DataFrame:
+            rows.write.mode("overwrite").parquet(self._folder(kind, block_id))
+            return self.spark.read.schema(schema).parquet(self._folder(kind, block_id))
+
+        order = ("ts_ms", "series_key", "line")
+        rows = table(logs.select("series_key", "labels", "ts_ms", "line"), "incoming", LINES)
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        placed = table(rows, "placed", f"{LINES}, _at bigint").withColumn("_part", F.shiftright("_at", PLACE_BITS))
+        # One row a task of the write, so small enough for one window and a broadcast.
+        ahead = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = placed.groupBy("_part").agg(F.count("*").alias("n")).select(F.col("_part").alias("_p"), (ahead + first_id).alias("_before"))
+        placed = placed.join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
+        return placed.withColumn("log_id", F.col("_at").bitwiseAND((1 << PLACE_BITS) - 1) + F.col("_before"))
 
     # Reading
 
@@ -197,10 +220,12 @@ class Store:
 
     # Upkeep
 
-    def _replace(self, rows: DataFrame, parents: list[Meta], level: int) -> Meta | None:
+    def _replace(self, rows: DataFrame, parents: list[Meta], level: int, whole: bool = False) -> Meta | None:
+        """whole: the rows are all lines of the parents, so that their index is the parents' put together."""
         block_id = uuid.uuid4().hex
         lines = self._write_lines(rows, block_id, False)
-        return self._commit(lines, block_id, level, [m.block_id for m in parents], max(m.last_id for m in parents))
+        tables = self._merged(parents) if whole else self._indexed(lines)
+        return self._commit(*tables, block_id, level, [m.block_id for m in parents], max(m.last_id for m in parents))
 
     def compact(self) -> Meta | None:
         """Merge the next group of blocks that the planner names; None where there is none."""
@@ -209,7 +234,7 @@ class Store:
         if not group:
             return None
         parents = [held[b.block_id] for b in group]
-        return self._replace(self.logs(held=parents), parents, 1 + max(m.level for m in parents))
+        return self._replace(self.logs(held=parents), parents, 1 + max(m.level for m in parents), True)
 
     def vacuum(self) -> list[str]:
         """Delete the blocks that a newer one names as its parents. Metadata goes last and parents before their children,

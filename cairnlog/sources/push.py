@@ -31,20 +31,26 @@ def decode_json(raw: DataFrame, column: str = "value") -> DataFrame:
 
 
 def flatten(requests: DataFrame) -> DataFrame:
-    """(stream_labels, ts, line, raw): one row per entry of every stream, and one of raw alone per broken request."""
+    """(stream_labels, ts, line, raw, labels, series_key): one row per entry of every stream, and one of raw alone per
+    broken request. Label text is parsed once a stream."""
     raw = F.col(RAW) if RAW in requests.columns else F.lit(None).cast("string")
     nothing = F.array(F.struct(F.lit(None).cast("string").alias("labels"), F.array(F.lit(None).cast(ENTRY)).alias("entries")))
     streams = requests.select(raw.alias(RAW), F.explode(F.when(raw.isNotNull(), nothing).otherwise(F.col("streams"))).alias("s"))
-    return streams.select(F.col("s.labels").alias("stream_labels"), F.explode("s.entries").alias("e"), RAW).select("stream_labels", "e.ts", "e.line", RAW)
+    return _labelled(streams.select(F.col("s.labels").alias("stream_labels"), F.col("s.entries").alias("entries"), RAW)).select("*", F.explode("entries").alias("e")).select("stream_labels", "e.ts", "e.line", RAW, "labels", "series_key")
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("labels", parse(F.col("stream_labels"))).withColumn("series_key", canonical(F.col("labels")))
 
 
 def to_logs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Logs without ids (the store gives them), and the dead letters (stream_labels, ts, line, raw)."""
     if RAW not in entries.columns:
         entries = entries.withColumn(RAW, F.lit(None).cast("string"))
-    parsed = entries.withColumn("labels", parse(F.col("stream_labels")))
-    good = F.coalesce(F.size("labels") > 0, F.lit(False)) & F.col("ts").isNotNull()
-    logs = parsed.filter(good).select(canonical(F.col("labels")).alias("series_key"), "labels", F.unix_millis("ts").alias("ts_ms"), F.coalesce("line", F.lit("")).alias("line"))
+    parsed = entries if "labels" in entries.columns else _labelled(entries)
+    # In one piece: a part on labels alone would go below the entries, and with it a second parsing.
+    good = F.coalesce((F.size("labels") > 0) & F.col("ts").isNotNull(), F.lit(False))
+    logs = parsed.filter(good).select("series_key", "labels", F.unix_millis("ts").alias("ts_ms"), F.coalesce("line", F.lit("")).alias("line"))
     return logs, parsed.filter(~good).select("stream_labels", "ts", "line", RAW)
 
 

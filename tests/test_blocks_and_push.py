@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cairnlog.config import EngineConfig, exponential_ranges
 from cairnlog.engine import Engine
 from cairnlog.functions import labels, scalars
-from cairnlog.operators import blocks
+from cairnlog.operators import blocks, store
 from cairnlog.plans.predicate import matches
 from cairnlog.plans.temql import Matcher, TemQLSyntaxError, parse
 from cairnlog.sources import push
@@ -316,3 +316,32 @@ def test_command_line(golden, spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["total_count"] == 3
     main(["read", store, '{app="web"}', "--start", "1000", "--end", "6000", "--step", "1000"])
     assert capsys.readouterr().out.split() == ['{app="web"}', "2000", "3.0"]
+
+
+def test_append_makes_its_input_once_and_compaction_merges_the_index(spark, tmp_path):
+    rows = [("web" if k % 3 else "db", 1000 * (k % 7), f"line {k % 5} of w{k % 11}") for k in range(200)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    config = EngineConfig(ranges_ms=(20_000, 60_000), promoted=("app",))
+    e = Engine(spark, store=f"file://{tmp_path}/store", config=config)
+    df = spark.createDataFrame(rows, "app string, ts_ms bigint, line string").repartition(4)
+    logs = df.mapInPandas(counted, df.schema).select(F.concat(F.lit('{app="'), "app", F.lit('"}')).alias("series_key"), F.create_map(F.lit("app"), "app").alias("labels"), "ts_ms", "line")
+    e.store.append(logs)
+    assert seen.value == len(rows)
+    # Ids follow (ts_ms, series_key, line), without gaps.
+    held = sorted((r.log_id, r.ts_ms, r.series_key, r.line) for r in e.logs().collect())
+    assert [r[0] for r in held] == list(range(1, 201)) and [r[1:] for r in held] == sorted((ts, f'{{app="{app}"}}', line) for app, ts, line in rows)
+    assert sorted(p.name for p in (tmp_path / "store").iterdir() if list(p.glob("block=*"))) == ["blocks", "logs", "series", "terms"]
+    e.store.append(logs.filter("series_key like '%db%'"))
+    e.store.append(logs.limit(1).withColumn("ts_ms", F.lit(90_000_000).cast("bigint")))
+    of = lambda kind, m: sorted(tuple(r) for r in e.store._read(kind, {"terms": store.TERMS, "series": store.SERIES.replace("labels map<string,string>, ", "")}[kind], [m]).drop("block").collect())
+    merged = e.store.compact()
+    by_series, postings = e.store._indexed(e.store.logs(held=[merged]))
+    assert of("terms", merged) == sorted(tuple(r) for r in postings.collect()) and merged.total == len(held) + sum(app == "db" for app, _, _ in rows)
+    assert of("series", merged) == sorted(tuple(r) for r in by_series.select("series_key", "n_logs", "min_ts", "max_ts").collect())
+    assert (merged.first_id, merged.last_id) == (1, merged.total)
